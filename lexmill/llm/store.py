@@ -6,6 +6,7 @@ Writing a table cuts the lineage and survives a lost executor. The folder is the
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def without(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*df.columns)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished work, which it does once the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(spark: SparkSession) -> int:
     """Number of shuffle partitions for exchanges that are asked for by number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
