@@ -25,17 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop, save, spread
-from .words import coded, words
+from .words import coded, parts as split_parts, words
 
 FREQUENT, CLASSES, TOP = 32_000, 256, 64
-CHUNK_BYTES, BATCH_TOKENS, PARTS, RECORDS = 24_000_000, 400_000, 256, 4_000_000
+CHUNK_BYTES, BATCH_TOKENS, PARTS, RECORDS = 8_000_000, 400_000, 256, 4_000_000
 
 
 def is_held_out(doc_id: int | None, parts: int, which: int) -> bool:
@@ -47,28 +46,23 @@ def chunks(docs: DataFrame, parts: int, which: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                doc_ids = batch.column(0).slice(a, b - a).to_pylist()
-                held = np.array([is_held_out(d, parts, which) for d in doc_ids])
-                bounds, flat = words(batch.column(1).slice(a, b - a))
-                ids, names = coded(flat)
-                encoded = [w.encode("utf-8", "surrogatepass") for w in names]
-                own = np.fromiter(map(xxhash.xxh64_intdigest, encoded), np.uint64, len(encoded))
-                kind = np.fromiter((zlib.crc32(w[-2:]) & 255 for w in encoded), np.uint64, len(encoded))
-                hashes, ids_of = np.unique(own & ~np.uint64(255) | kind, return_inverse=True)
-                ids = ids_of[ids] if len(ids) else np.zeros(0, np.int64)
-                training = np.repeat(~held, np.diff(bounds))
-                counts = np.bincount(ids[training], minlength=len(hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held, bounds, ids.astype("<u4"), hashes.astype("<u8"), counts.astype("<i8"))), pa.array([int(training.sum() + (~held).sum())], pa.int64()), pa.array([len(hashes)], pa.int64())],
-                    ["g", "doc_ids", "held", "bounds", "ids", "hashes", "counts", "n_train", "n_words"],
-                )
-                number += 1
+        for batch in split_parts(batches, 1, CHUNK_BYTES):
+            doc_ids = batch.column(0).to_pylist()
+            held = np.array([is_held_out(d, parts, which) for d in doc_ids])
+            bounds, flat = words(batch.column(1))
+            ids, names = coded(flat)
+            encoded = [w.encode("utf-8", "surrogatepass") for w in names]
+            own = np.fromiter(map(xxhash.xxh64_intdigest, encoded), np.uint64, len(encoded))
+            kind = np.fromiter((zlib.crc32(w[-2:]) & 255 for w in encoded), np.uint64, len(encoded))
+            hashes, ids_of = np.unique(own & ~np.uint64(255) | kind, return_inverse=True)
+            ids = ids_of[ids] if len(ids) else np.zeros(0, np.int64)
+            training = np.repeat(~held, np.diff(bounds))
+            counts = np.bincount(ids[training], minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held, bounds, ids.astype("<u4"), hashes.astype("<u8"), counts.astype("<i8"))), pa.array([int(training.sum() + (~held).sum())], pa.int64()), pa.array([len(hashes)], pa.int64())],
+                ["g", "doc_ids", "held", "bounds", "ids", "hashes", "counts", "n_train", "n_words"],
+            )
+            number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, "g long, doc_ids array<long>, held binary, bounds binary, ids binary, hashes binary, counts binary, n_train long, n_words long")
 

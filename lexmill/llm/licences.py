@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import ALNUM, coded, words
+from .words import ALNUM, coded, parts, words
 
 # The phrases of the contract, and wordings by which licences are granted.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -193,7 +193,7 @@ def licence_scan(docs: DataFrame, least_coverage: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(least_coverage)
-        for batch in batches:
+        for batch in parts(batches, 1):
             found = scanner.scan(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], ["doc_id", *found.schema.names])
 

@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import release, save, spread
+from .words import parts
 
 SPAN, KEY = 50, 25
 ANCHORS = SPAN - KEY + 1
-HOT, CHUNK_BYTES, BLOCK, LAST = 4096, 16_000_000, 1 << 15, (1 << 63) - 1
+HOT, CHUNK_BYTES, BLOCK, LAST = 4096, 8_000_000, 1 << 15, (1 << 63) - 1
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -230,19 +231,14 @@ def pack(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                lengths = np.array([len(t) for t in texts], "<i8")
-                joined = b"".join(texts)
-                places = anchors(np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
-                columns = [pa.array([number], pa.int64()), pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (lengths.tobytes(), zstandard.compress(joined, 3), squeeze(np.diff(places, prepend=0).astype("<u4")))), pa.array([len(places)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["g", "doc_ids", "lengths", "texts", "anchors", "n_anchors"])
-                number += 1
+        for batch in parts(batches, 1, CHUNK_BYTES):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            lengths = np.array([len(t) for t in texts], "<i8")
+            joined = b"".join(texts)
+            places = anchors(np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+            columns = [pa.array([number], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (lengths.tobytes(), zstandard.compress(joined, 3), squeeze(np.diff(places, prepend=0).astype("<u4")))), pa.array([len(places)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "doc_ids", "lengths", "texts", "anchors", "n_anchors"])
+            number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, "g long, doc_ids array<long>, lengths binary, texts binary, anchors binary, n_anchors long")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,11 +14,20 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in LOWER)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (in the given column) have about limit bytes, to bound memory."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(size // limit)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
     """texts with each byte replaced by the table's; null becomes empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if texts.offset:
-        texts = pa.concat_arrays([texts, pa.array([], pa.large_string())])  # copies, from offset 0
+    texts = pa.concat_arrays([texts, pa.array([], pa.large_string())])  # its own bytes only, from offset 0
     _, offsets, data = texts.buffers()
     changed = (data.to_pybytes() if data else b"").translate(table)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, offsets, pa.py_buffer(changed)]).view(pa.large_string())
