@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rx, text
 from ..functions.headings import detect_heading
@@ -34,7 +35,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return own.select("doc_id", "page_number", F.filter(split, lambda s: s != "").alias("lines"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def header_fingerprint(lines: pd.Series) -> pd.Series:
     """What stays of a page's header line when marks, case and a stray letter before Arabic are ignored."""
 
