@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .graph import components
 from .store import save
-from .words import LOWER, words
+from .words import LOWER, parts, words
 
 SMALL = 48
 
@@ -49,8 +49,8 @@ def shingles(text: str | None, n: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(own[i:] for i in range(n)), strict=False)))
 
 
-def hashes(parts: list[bytes], seed: int = 42) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))
+def hashes(own: list[bytes], seed: int = 42) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(seed)), np.uint64, len(own))
 
 
 def majority(h: np.ndarray) -> int:
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp: SimHash of every whole text over word shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             fp = [majority(hashes(shingles(t, shingle))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         return out.astype("<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             bounds, flat = words(batch.column(1))
             coded = flat.dictionary_encode()
             codes, names = coded.indices.to_numpy(zero_copy_only=False), [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import save
-from .words import coded, words
+from .words import coded, parts, words
 
 RUNS = re.compile(r"[^\W\d_]+")
 HEADS, TAILS = (3, 4, 5, 6, 7, 8), (4, 5)
@@ -111,7 +111,7 @@ def _counts(df: DataFrame, within: frozenset[str] | None, least: int) -> DataFra
     """Rows (feature, times, docs) of the texts in df; feature null: all words. within: only these."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0):
             bounds, flat = words(batch.column(0))
             codes, names = coded(flat)
             if not names:
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int =
     model.decay = _decay([*rates, (-drift, 1 - mean)]) if rates else 1.0
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0):
             x = [round(math.log1p(model.evidence(n, found)), 1) for n, found in model.passages(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
@@ -200,7 +200,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
     passage = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32()), ("score", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1):
             score, evidence, spans = [], [], []
             for n, found in model.passages(batch.column(1)):
                 evidence.append(e := model.evidence(n, found))
@@ -217,7 +217,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     place = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, place):
             yield batch.filter(pa.array([model.score(model.evidence(n, found)) < threshold for n, found in model.passages(batch.column(place))], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
