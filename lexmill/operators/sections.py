@@ -42,7 +42,11 @@ def line_kind(heading: Column, line: Column) -> Column:
 def tree(lines_: DataFrame) -> DataFrame:
     """Sections of the given lines. Every document has a root, in front of its headings."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    numbered = lines_.withColumn("section", F.sum(F.col("heading").isNotNull().cast("int")).over(order).cast("int"))
+    # an empty line before the first one stands for the root, so each line is classified in one pass only
+    copies = F.when(F.col("line_no") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    both = lines_.withColumn("root", F.explode(copies))
+    both = both.select("doc_id", "source_name", "total", F.when(F.col("root"), -1).otherwise(F.col("line_no")).alias("line_no"), "start", "past", F.when(F.col("root"), "").otherwise(F.col("text")).alias("text"), F.when(~F.col("root"), F.col("heading")).alias("heading"))
+    numbered = both.withColumn("section", F.sum(F.col("heading").isNotNull().cast("int")).over(order).cast("int"))
     bodies = numbered.groupBy("doc_id", "section").agg(
         F.first("source_name").alias("source_name"), F.first("total").alias("total"), F.max("heading").alias("heading"), F.min("line_no").alias("line_no"),
         F.min(F.when(F.col("heading").isNotNull(), F.col("start"))).alias("start"), F.max(F.when(F.col("text") != "", F.col("past"))).alias("past"),
@@ -62,18 +66,12 @@ def tree(lines_: DataFrame) -> DataFrame:
     named = pathed.withColumn("section_id", text.section_id(F.col("source_name"), F.col("path"), F.row_number().over(same)))
     root_id = text.section_id(F.col("source_name"), F.array(F.lit(ROOT)), F.lit(1))
     full = named.withColumn("parent_section_id", F.when(F.col("section") > 0, F.coalesce(*reversed(ancestors("section_id")), root_id)))
-    found = full.select(
+    return full.select(
         "doc_id", "source_name", "section_id", F.when(F.col("section") == 0, "document_root").otherwise(F.col("heading.kind")).alias("kind"), F.col("label").alias("title"),
         F.col("section").alias("order"), "parent_section_id", "path", F.when(F.col("section") == 0, "document_root").otherwise(F.col("heading.kind")).alias("section_type"),
         metadata(article_number=F.col("heading.article_number"), paragraph_number=F.col("heading.paragraph_number")).alias("metadata"),
         F.coalesce("start", F.lit(0)).alias("start_offset"), F.greatest(F.coalesce("start", F.lit(0)), F.coalesce("past", "total")).alias("end_offset"), "text",
     )
-    bare = lines_.where("line_no = 0 and heading is not null").select("doc_id", "source_name", "total")
-    empty = bare.select(
-        "doc_id", "source_name", root_id.alias("section_id"), F.lit("document_root").alias("kind"), F.lit(ROOT).alias("title"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("parent_section_id"),
-        F.array(F.lit(ROOT)).alias("path"), F.lit("document_root").alias("section_type"), metadata().alias("metadata"), F.lit(0).alias("start_offset"), F.col("total").alias("end_offset"), F.lit("").alias("text"),
-    )
-    return found.unionByName(empty)
 
 
 def sections(docs: DataFrame, profile: Profile | str = "generic", policy: str = "default", doc_kind: str | None = None) -> DataFrame:
