@@ -136,9 +136,16 @@ class Chunk:
         """Distinct anchors: owners, 32-bit remainders and documents of each, by owner; and each anchor's number."""
         h = keys(self.data, self.places)
         to = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        known, number = np.unique(to << np.uint64(32) | h & np.uint64(0xFFFFFFFF), return_inverse=True)
-        pairs = np.unique(number * len(self.ids) + self.owner)
-        docs = np.bincount(pairs // max(1, len(self.ids)), minlength=len(known))
+        key = to << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+        order = np.argsort(key, kind="stable")  # equal keys stand by place, so by document
+        by, doc = key[order], self.owner[order]
+        new = np.ones(len(by), bool)
+        new[1:] = by[1:] != by[:-1]
+        other = new.copy()
+        other[1:] |= doc[1:] != doc[:-1]
+        number = np.empty(len(by), np.int64)
+        number[order] = np.cumsum(new) - 1
+        known, docs = by[new], np.bincount(number[order], other, int(new.sum())).astype(np.int64)
         return (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype("<u4"), docs, number
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +173,16 @@ def distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return rows, ids, np.zeros(0, np.int64)
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = rows
-    order = np.lexsort(wide.view("<u8").T)
-    ordered = wide[order].view("<u8")
-    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)])
+    words = wide.view("<u8")
+    h = np.zeros(n, np.uint64)
+    for w, m in zip(words.T, MIX * width, strict=False):
+        h = (h ^ (w * m)) * MIX[0]
+        h ^= h >> np.uint64(31)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], (words[order[1:]] != words[order[:-1]]).any(1)])
+    if (new[1:] & (h[order[1:]] == h[order[:-1]])).any():  # different rows with one hash: sort by all bytes
+        order = np.lexsort(words.T)
+        new = np.concatenate([[True], (words[order[1:]] != words[order[:-1]]).any(1)])
     number = np.empty(n, np.int64)
     number[order] = np.cumsum(new) - 1
     least = np.full(int(new.sum()), LAST, np.int64)
@@ -178,7 +192,25 @@ def distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def repeated(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each window a mask: bit l is set if a window with a smaller id has its SPAN-byte string that starts
-    l bytes before the anchor."""
+    l bytes before the anchor.
+
+    Equal windows are settled at once; the tree is built over different windows that share their anchor.
+    """
+    rows, least, number = distinct(windows, ids)
+    if not len(rows):
+        return np.zeros(0, np.uint32)
+    left, right = rows[:, -2].astype(np.uint32), rows[:, -1].astype(np.uint32)
+    one = np.uint32(1)
+    whole = np.where(left + right >= KEY, ((one << (left + one)) - one) & ~((one << (np.uint32(KEY) - right)) - one), 0).astype(np.uint32)
+    _, anchor, met = np.unique(keys(np.ascontiguousarray(rows[:, KEY:SPAN]).ravel(), np.arange(len(rows)) * KEY), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(met[anchor] > 1)
+    told = np.zeros(len(rows), np.uint32)
+    told[some] = _tree_masks(rows[some], least[some])
+    return np.where(ids > least[number], whole[number], told[number])
+
+
+def _tree_masks(windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """repeated() for windows that are all different."""
     n = len(windows)
     left, right = windows[:, -2].astype(np.int64), windows[:, -1].astype(np.int64)
     after = np.zeros((n, 56), np.uint8)
@@ -316,8 +348,7 @@ class Asked:
 
     def removed(self, masks: np.ndarray, flags: np.ndarray) -> np.ndarray:
         """Which bytes of the chunk go. masks, flags: the owners' answers in the order of rows and hot_rows."""
-        chunk, cover = self.chunk, np.zeros(len(self.chunk.data) + 1, np.int32)
-        starts = []
+        chunk, start = self.chunk, np.zeros(len(self.chunk.data), bool)
         by_row, least = np.empty(len(masks), np.uint32), np.empty(len(masks), np.int64)
         by_row[self.order], least[self.order] = masks, self.ids
         at, ids = chunk.places[self.chosen], chunk.ids[chunk.owner[self.chosen]]
@@ -331,16 +362,15 @@ class Asked:
         hot_at, hot_ids = chunk.places[self.hot], chunk.ids[chunk.owner[self.hot]]
         for extension in range(KEY + 1):
             go = (own >> np.uint32(extension) & np.uint32(1)).astype(bool) | later & (low >= extension) & (high >= KEY - extension)
-            starts.append(at[go] - extension)
+            start[at[go] - extension] = True
             which = self.string_of[self.hot_number, extension] if len(self.hot) else np.zeros(0, np.int64)
             some = which >= 0
             go = np.zeros(len(which), bool)
             go[some] = flag[which[some]] | (hot_ids[some] > string_least[which[some]])
-            starts.append(hot_at[go] - extension)
-        starts = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-        np.add.at(cover, starts, 1)
-        np.subtract.at(cover, starts + SPAN, 1)
-        return np.cumsum(cover)[:-1] > 0
+            start[hot_at[go] - extension] = True
+        so_far = np.cumsum(start, dtype=np.int32)
+        so_far[SPAN:] -= so_far[:-SPAN].copy()
+        return so_far > 0
 
 
 def _found(table: pa.Table) -> np.ndarray:
