@@ -29,6 +29,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """value as the one row of a generator: the optimiser doesn't copy it into filters and later projections."""
+    return F.explode(F.array(value))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WHITE}+|{WHITE}+\z", "")
 

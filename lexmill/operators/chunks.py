@@ -249,7 +249,7 @@ def chunks_of(found: DataFrame, profile: Profile | str, policy: str, limits: Lim
 def normalized(docs: DataFrame) -> DataFrame:
     """doc_id, source_name, text as the pipeline sees them."""
     name = F.coalesce("source_name", F.lit("<memory>")) if "source_name" in docs.columns else F.lit("<memory>")
-    return docs.select("doc_id", name.alias("source_name"), text.normalize_extracted("text").alias("text"))
+    return docs.select("doc_id", name.alias("source_name"), rx.once(text.normalize_extracted("text")).alias("text"))
 
 
 def chunks(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str | None = None, limits: Limits | None = None) -> DataFrame:

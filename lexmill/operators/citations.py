@@ -94,7 +94,7 @@ def references(docs: DataFrame, profile: Profile | str = "generic", doc_family:
     """
     own = resolve(profile)
     tried = patterns(own, doc_family)
-    base = docs.select("doc_id", numbering.normalize_reference("text", own).alias("body")).where("body <> ''")
+    base = docs.select("doc_id", rx.once(numbering.normalize_reference("text", own)).alias("body")).where("body <> ''")
     any_of = "|".join(f"(?:{p.pattern})" for p in tried)
     base = base.where(F.col("body").rlike(any_of))
 

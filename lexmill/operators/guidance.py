@@ -54,29 +54,37 @@ def split_blocks(body: Column, any_start: bool = True, min_points: int = 1) -> C
 
 def points(docs: DataFrame) -> DataFrame:
     """doc_id, source_name, body, number_of, e: the blocks of documents that have points."""
-    own = docs.select("doc_id", "source_name", text.normalize_guidance("text").alias("body")).where("body <> ''")
-    blocks = own.withColumn("blocks", split_blocks(F.col("body"))).where(F.exists("blocks", lambda b: b["method"] == "guidance_point"))
+    own = docs.select("doc_id", "source_name", rx.once(text.normalize_guidance("text")).alias("body")).where("body <> ''")
+    blocks = own.withColumn("blocks", rx.once(split_blocks(F.col("body")))).where(F.exists("blocks", lambda b: b["method"] == "guidance_point"))
     return blocks.select("doc_id", "source_name", "body", F.posexplode("blocks").alias("number_of", "e"))
 
 
-def case_metadata(body: Column, profile: Profile | str, doc_kind: str | None = None, scope: str = "review_point") -> dict[str, Column]:
-    """source_case_reference, _number, _date and _court of the decision that a point cites (Russian reviews)."""
-    none = F.lit(None).cast("string")
+CASE = ["source_case_reference", "source_case_number", "source_case_date", "source_case_court"]
+
+
+def case_metadata(body: Column, profile: Profile | str, doc_kind: str | None = None, scope: str = "review_point") -> Column:
+    """struct of CASE: the decision that a point cites (Russian reviews)."""
     if resolve(profile).code != "ru":
-        return dict.fromkeys(("source_case_reference", "source_case_number", "source_case_date", "source_case_court"), none)
+        return F.struct(*(F.lit(None).cast("string").alias(n) for n in CASE))
     view = rx.strip(F.coalesce(body, F.lit("")))
     if (doc_kind or "").strip().lower() == "court_guidance" and scope == "review_point":
         view = rx.strip(F.regexp_replace(view, rx.CASELESS + v.CASE_STRIP, ""))
-    prefixed = F.get(F.regexp_extract_all(view, F.lit(rx.CASELESS + v.CASE_PREFIXED), F.lit(1)), F.lit(0))
-    tails = F.regexp_extract_all(view, F.lit(rx.CASELESS + v.CASE_TAIL), F.lit(1))
-    tail = F.get(tails, F.size(tails) - 1)
-    reference = rx.strip(F.coalesce(prefixed, tail))
-    court = none
-    for where in (view, reference):  # the reference itself goes first
-        for label, names in reversed(v.COURTS):
-            court = F.when(where.rlike(rx.CASELESS + rx.alternatives(names)), label).otherwise(court)
-    field = lambda p: rx.strip(rx.group(reference, rx.CASELESS + p, 1))
-    return {"source_case_reference": reference, "source_case_number": field(v.CASE_NUMBER), "source_case_date": field(v.CASE_DATE), "source_case_court": F.when(reference.isNotNull(), court)}
+
+    def cited(text: Column) -> Column:
+        tails = F.regexp_extract_all(text, F.lit(rx.CASELESS + v.CASE_TAIL), F.lit(1))
+        first = F.get(F.regexp_extract_all(text, F.lit(rx.CASELESS + v.CASE_PREFIXED), F.lit(1)), F.lit(0))
+        last = rx.let(tails, lambda t: F.get(t, F.size(t) - 1))
+        return F.struct(text.alias("text"), rx.strip(F.coalesce(first, last)).alias("reference"))
+
+    def fields(found: Column) -> Column:
+        reference, court = found["reference"], F.lit(None).cast("string")
+        for where in (found["text"], reference):  # the reference itself goes first
+            for label, names in reversed(v.COURTS):
+                court = F.when(where.rlike(rx.CASELESS + rx.alternatives(names)), label).otherwise(court)
+        field = lambda p: rx.strip(rx.group(reference, rx.CASELESS + p, 1))
+        return F.struct(reference.alias(CASE[0]), field(v.CASE_NUMBER).alias(CASE[1]), field(v.CASE_DATE).alias(CASE[2]), F.when(reference.isNotNull(), court).alias(CASE[3]))
+
+    return rx.let(rx.let(view, cited), fields)
 
 
 def sections(pointed: DataFrame, profile: Profile | str, doc_kind: str | None = None) -> DataFrame:
@@ -92,10 +100,10 @@ def sections(pointed: DataFrame, profile: Profile | str, doc_kind: str | None =
     root_id = text.section_id(F.col("source_name"), F.array(F.lit(ROOT)), F.lit(1))
     label = F.concat(F.lit("Point "), F.col("e.number"))
     path = F.array(F.lit(ROOT), label)
-    only = found.where("e.method = 'guidance_point'")
+    only = found.where("e.method = 'guidance_point'").withColumn("case", rx.once(case_metadata(F.col("e.text"), profile, doc_kind)))
     same = Window.partitionBy("doc_id", "e.number").orderBy("number_of")
     rank = Window.partitionBy("doc_id").orderBy("number_of")
-    case = case_metadata(F.col("e.text"), profile, doc_kind)
+    case = {n: F.col(f"case.{n}") for n in CASE}
     point = only.select(
         "doc_id", "source_name", text.section_id(F.col("source_name"), path, F.row_number().over(same)).alias("section_id"), F.lit("clause").alias("kind"), label.alias("title"),
         F.row_number().over(rank).alias("order"), root_id.alias("parent_section_id"), path.alias("path"), F.lit("review_point").alias("section_type"),

@@ -226,7 +226,7 @@ def cleaned_lines(pages: DataFrame, profile: Profile | str) -> DataFrame:
 def clean_pages(pages: DataFrame, profile: Profile | str = "generic") -> DataFrame:
     """doc_id, page_number, text of the pages that have any."""
     own = resolve(profile)
-    found = cleaned_lines(pages, own).select("doc_id", "page_number", page_text(F.col("lines"), own).alias("text")).where("text <> ''")
+    found = cleaned_lines(pages, own).select("doc_id", "page_number", rx.once(page_text(F.col("lines"), own)).alias("text")).where("text <> ''")
     return trim_rules_body(found) if own.switch("trim_rules_body") else found
 
 

@@ -26,13 +26,13 @@ def lines(docs: DataFrame, profile: Profile | str = "generic", policy: str = "de
 
     Each line is classified once. start and past count characters of the stripped text.
     """
-    own = docs.select("doc_id", "source_name", rx.strip(F.coalesce("text", F.lit(""))).alias("body")).where("body <> ''")
+    own = docs.select("doc_id", "source_name", rx.once(rx.strip(F.coalesce("text", F.lit("")))).alias("body")).where("body <> ''")
     ends = F.regexp_extract_all("body", F.lit(rx.LINE_ENDS), F.lit(0))
     split = own.select("doc_id", "source_name", F.length("body").alias("total"), F.posexplode(F.arrays_zip(F.split("body", rx.LINE_ENDS, -1).alias("raw"), F.transform(ends, F.length).alias("gap"))).alias("line_no", "e"))
     split = split.select("doc_id", "source_name", "total", "line_no", "e.raw", F.coalesce("e.gap", F.lit(0)).alias("gap"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     placed = split.withColumn("start", (F.sum(F.length("raw") + F.col("gap")).over(order) - F.length("raw") - F.col("gap")).cast("int"))
-    return placed.select("doc_id", "source_name", "total", "line_no", "start", (F.col("start") + F.length("raw")).alias("past"), rx.strip(F.col("raw")).alias("text"), headings.detect_heading(F.col("raw"), profile, policy).alias("heading"))
+    return placed.select("doc_id", "source_name", "total", "line_no", "start", (F.col("start") + F.length("raw")).alias("past"), rx.strip(F.col("raw")).alias("text"), rx.once(headings.detect_heading(F.col("raw"), profile, policy)).alias("heading"))
 
 
 def line_kind(heading: Column, line: Column) -> Column:
