@@ -3,7 +3,8 @@
 1. Weights. Each word carries features: its letter runs, their first and their last letters. A feature's
    log-odds between toxic and other training documents is smoothed by a Dirichlet prior, half a count and
    the feature's corpus rate (Monroe, Colaresi and Quinn, 2008); features beyond ``z_min`` standard errors form
-   the lexicon. A word scores its best feature less ``drift``; any other word scores ``-drift``.
+   the lexicon; first or last letters are left out where one word accounts for most of them. A word scores its best feature less ``drift``; any other word, and one that
+   only repeats the word before it, scores ``-drift``.
 2. Segments. One linear scan a document lists every maximal scoring segment (Ruzzo and Tompa, 1999).
 3. Calibration. lambda solves sum(p * exp(lambda * s)) = 1 over words outside toxic documents (Karlin and
    Altschul, 1990). A segment of score S among n words has the evidence lambda * S - ln(n), which is the
@@ -47,6 +48,14 @@ def features(word: str) -> set[str]:
     return found
 
 
+def again(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which words stand right after the same word of their text. They count for nothing."""
+    same = np.zeros(len(codes), bool)
+    same[1:] = codes[1:] == codes[:-1]
+    same[bounds[:-1][bounds[:-1] < len(codes)]] = False
+    return same
+
+
 def segments(at: list[int], value: list[float], drift: float) -> list[tuple[int, int, float]]:
     """Every maximal scoring segment (first word, past the last, score), in order.
 
@@ -91,6 +100,7 @@ class Model:
         codes, names = coded(flat)
         by_name = np.array([self.value(w) for w in names]) if names else np.zeros(0)
         scores = by_name[codes] if len(codes) else by_name
+        scores[again(codes, bounds)] = -self.drift
         hits = np.flatnonzero(scores > 0)
         cut = np.searchsorted(hits, bounds)
         for i in range(len(texts)):
@@ -111,13 +121,14 @@ def _counts(df: DataFrame, within: frozenset[str] | None, least: int) -> DataFra
     """Rows (feature, times, docs) of the texts in df; feature null: all words. within: only these."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, 0):
+        for batch in parts(batches, 0, 1_000_000):  # each distinct word has some ten features
             bounds, flat = words(batch.column(0))
             codes, names = coded(flat)
             if not names:
                 continue
+            counted = ~again(codes, bounds)
+            owner, codes = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[counted], codes[counted]
             times = np.bincount(codes, minlength=len(names))
-            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             docs = np.bincount(np.unique(owner * len(names) + codes) % len(names), minlength=len(names))
             total, seen = Counter(), Counter()
             for w, t, d in zip(names, times.tolist(), docs.tolist(), strict=True):
@@ -175,7 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int =
         return Model()
     model = Model(drift=drift)
     rates = []
+    single: dict[str, int] = {}  # affixes by the count of the one word that has most of them
+    for f, y in bad.items():
+        if "-" not in f:
+            for part in features(f) - {f}:
+                single[part] = max(single.get(part, 0), y)
     for f, y in bad.items():
+        if y < 1.5 * single.get(f, 0):
+            continue  # the word itself tells as much
         x = good.get(f, 0)
         a = 0.5 + prior * (x + y) / (n_bad + n_good)
         odds = math.log((y + a) / (n_bad + prior - y - a + 1e-9)) - math.log((x + a) / (n_good + prior - x - a + 1e-9))
