@@ -125,7 +125,7 @@ def lines(page: str) -> list[Line]:
                 stack.pop()
         _, dull, inside = stack[-1]
         inside = inside or name in ("article", "main") or 'role="main"' in m["attrs"]
-        stack.append((name, dull or is_furniture(name, m["attrs"], inside), inside))
+        stack.append((name, dull and name != "main" or is_furniture(name, m["attrs"], inside), inside))
     add(page[last:])
     end_line()
     return found
