@@ -123,7 +123,7 @@ def detect_heading(line: Column, profile: Profile | str = "generic", policy: str
 
     def found(text: Column) -> Column:
         # a word, a number or a sign with little after it: few lines get as far as the patterns
-        likely = text.rlike(r"\A(?:[^\s\x1C-\x1F]{1,32}\s|[\d§]|(?iu:schedule|annex|appendix|exhibit|приложение|прил|аннекс))")
+        likely = text.rlike(r"(?U)\A(?:\S{1,32}\s|[\d§]|[A-Za-z]\.|(?iu:schedule|annex|appendix|exhibit|приложение|прил|аннекс))")
         rest = rx.strip(F.regexp_extract(text, PREFIXED, 1))
         candidates = F.when(text.rlike(PREFIXED), F.array(rest, text)).otherwise(F.array(text))
         decided = F.filter(F.transform(candidates, lambda t: _decided(t, own, policy)), lambda h: h["kind"].isNotNull())

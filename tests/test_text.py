@@ -52,6 +52,8 @@ HEADINGS = [
     ("Schedule No. 1 Definitions", "generic", "default", ("other", "Schedule 1. Definitions", None, None)),
     ("I. Part I-Compliance Management", "ae", "default", ("part", "Part I. Compliance Management", None, None)),
     ("A. General principles", "ae", "statute", ("section", "Section A. General principles", None, None)),
+    ("B.-Scope", "ae", "statute", ("section", "Section B. Scope", None, None)),
+    ("Article\u00a05", "generic", "default", ("article", "Article 5", "5", None)),
     ("Rule 4. Summons", "us", "statute", ("article", "Rule 4. Summons", "4", None)),
     ("Exhibits", "generic", "default", ("other", "Schedule s", None, None)),
     ("Article 5", "generic", "default", ("article", "Article 5", "5", None)),
