@@ -22,6 +22,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4_000_000
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
                 yield batch.slice(a, b - a)
+                pa.default_memory_pool().release_unused()  # workers stay, so memory that they keep adds up
 
 
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
