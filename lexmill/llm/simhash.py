@@ -19,7 +19,9 @@ Repeated rows give repeated results. An empty table gives an empty result. Only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .store import save
-from .words import LOWER, parts, words
+from .store import BROADCAST_IDS, save
+from .words import LOWER, coded, parts, words
 
 SMALL = 48
 
@@ -110,72 +112,160 @@ def as_hex(fp: str = "fp") -> Column:
 
 # Near copies by a similarity of shingle sets, for the pipeline
 
-RADIUS, SEEDS, BINS, SHINGLE = 3, (42, 43, 44, 45), 256, 5
+SHINGLE, SAMPLE, FREQUENT, BLOCK, BLOCK_SHINGLES = 5, 10_000, 200_000, 512, 1 << 20
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fps: one SimHash of the distinct words per seed, and sketch: one permutation hashing of the
-    word shingles, BINS little-endian 16-bit values, the least hash of each bin (65535: empty bin)."""
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text its distinct word shingles as sorted 64-bit hashes; a short text is one shingle."""
+    bounds, flat = words(texts)
+    codes, names = coded(flat)
+    h = hashes([w.encode("utf-8", "surrogatepass") for w in names])[codes]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        own = h[a:b]
+        width = min(SHINGLE, len(own))
+        mixed = np.zeros(len(own) - width + 1 if width else 0, np.uint64)
+        for i in range(width):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + own[i : i + len(mixed)]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield np.unique(mixed ^ (mixed >> np.uint64(29)))
 
-    def sketch(h: np.ndarray) -> bytes:
-        out = np.full(BINS, 65535, np.uint16)
-        h = np.unique(h)
-        np.minimum.at(out, (h & np.uint64(BINS - 1)).astype(np.int64), ((h >> np.uint64(40)) % np.uint64(65535)).astype(np.uint16))
-        return out.astype("<u2").tobytes()
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of about SAMPLE texts have, at most FREQUENT, and their counts.
+
+    They only order shingles, which makes buckets smaller; results are the same for any order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 0):
+            own = np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column(0))])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
+
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0
+    counted = docs.where(part).select("text").mapInArrow(run, "key long").groupBy("key").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    keys, counts = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefixes(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, digest (of the set), size, rest, keys: all but rest of a set's shingles, rarest first.
+
+    Sets of that similarity share at least rest + 1 of either's shingles, so each has one of those among its keys.
+    """
+    known, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
-            bounds, flat = words(batch.column(1))
-            coded = flat.dictionary_encode()
-            codes, names = coded.indices.to_numpy(zero_copy_only=False), [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
-            by_seed = [hashes(names, s) for s in SEEDS]
-            fps, sketched = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                own = np.unique(codes[bounds[i] : bounds[i + 1]])
-                fps.append([majority(h[own]) for h in by_seed])
-                sketched.append(sketch(hashes(shingles(text, SHINGLE))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sketched, pa.binary())], ["doc_id", "fps", "sketch"])
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+            digests, sizes, rests, keys = [], [], [], []
+            for own in shingle_sets(batch.column(1)):
+                digests.append(blake2b(own.tobytes(), digest_size=16).digest())
+                sizes.append(len(own))
+                rests.append(max(0, ceil(similarity * len(own) - 1e-6) - 1))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
+                keys.append(own[: sizes[-1] - rests[-1]].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(rests, pa.int32()), held], ["doc_id", "digest", "size", "rest", "keys"])
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("digest binary, size int, rest int, keys array<long>")])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, own: the shingle sets of the documents named in nodes (one column, node), as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["node", "own"])
+
+    nodes, _ = save(nodes, "nodes")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+    return texts.mapInArrow(run, "node long, own binary")
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (positions in sets) that join all sets of that similarity; at most one less than sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    has, fresh, found = np.zeros(len(distinct), bool), np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        waiting = [first] if fresh[first] else []
+        fresh[first] = False
+        while waiting:
+            x = waiting.pop()
+            mine = ids[starts[x] : starts[x + 1]]
+            has[mine] = True
+            common = np.add.reduceat(has[ids], starts[:-1], dtype=np.int64)
+            has[mine] = False
+            hit = np.flatnonzero(fresh & (common / (sizes[x] + sizes - common) >= similarity)).tolist()
+            fresh[hit] = False
+            found += [(x, y) for y in hit]
+            waiting += hit
+    return found
+
+
+def crowded_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among members of large buckets. crowd: node, least (of the bucket), size.
+
+    Buckets that share members are one group, so that a pair isn't compared in each of its buckets. A group's
+    members are dealt into blocks, and every two blocks meet in one cell, which compares all its members.
+    """
+    named = components(crowd.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    grouped, _ = save(named.withColumnRenamed("component", "grp").join(crowd.select("node", "size").distinct(), "node"), "grouped")
+    blocks = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n"))
+    dealt = grouped.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = dealt.where("n = 1 or block <> other").select("node", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def cell(rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_pylist()
+        found = alike([np.frombuffer(s, np.uint64) for s in rows.column("own").to_pylist()], similarity)
+        return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.int64()), "b": pa.array([nodes[y] for _, y in found], pa.int64())})
+
+    return dealt.join(sets, "node").select("grp", "i", "j", "node", "own").groupBy("grp", "i", "j").applyInArrow(cell, "a long, b long")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: documents linked by a similarity of their sets of five-word shingles.
+    """doc_id, component_id: documents linked by a similarity (Jaccard) of their sets of five-word shingles.
 
-    Candidates: for each seed and each covering table, a bucket's members meet its least member and the one
-    before them, a number of pairs in proportion to the members; those within RADIUS bits are verified on
-    their sketches, whose standard error is at most 0.025 at the threshold. Equal sketches are one class.
-    A similar pair lies within the radius for some seed in about 97 of 100 cases (measured), and through
-    other members of its group in more. Texts without words, and rows with null doc_id, have no copies.
+    Candidates share one of their rarest shingles (prefix filter), which every similar pair does. Buckets of at
+    most SMALL members are compared pair by pair; pairs whose sizes or common keys rule the similarity out are
+    dropped, and the rest is decided on the whole sets. Larger buckets are compared in cells. Nothing is capped
+    or estimated, but shingles are known by 64-bit hashes. Equal sets are one class. Texts without words, and
+    rows with null doc_id, have no copies.
     """
-    marked, _ = save(sketches(docs.where("doc_id is not null")), "sketches")
-    blank = F.lit(bytearray(b"\xff" * (2 * BINS)))
-    classes, _ = save(marked.where(F.col("sketch") != blank).groupBy("sketch").agg(F.min("doc_id").alias("node"), F.min_by("fps", "doc_id").alias("fps")), "classes")
-    tables = masks(RADIUS)
-    keyed = classes.select("node", F.posexplode("fps").alias("seed", "fp"))
-    keyed = keyed.select("node", "fp", F.explode(F.array(*(F.struct((F.col("seed") * len(tables) + t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(tables)))).alias("e")).select("node", "fp", "e.t", "e.k")
-    centre, _ = save(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).where("n > 1"), "centres")
-    met, _ = save(keyed.join(centre, ["t", "k"]).select("t", "k", "node", "fp", "least"), "met")
-    to_least = met.where("node <> least.node and bit_count(fp ^ least.fp) <= 3").select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    # a few leading bits of the free part split large buckets, so that neighbours are found in bounded groups
-    from pyspark.sql import Window
-
-    near = Window.partitionBy("t", "k", F.pmod(F.xxhash64(F.shiftright("node", 10)), F.lit(64))).orderBy("node")
-    before = met.select("node", "fp", F.lag(F.struct("node", "fp")).over(near).alias("last")).where("bit_count(fp ^ last.fp) <= 3").select(F.col("last.node").alias("a"), F.col("node").alias("b"))
-    pairs, _ = save(to_least.union(before).distinct(), "pairs")
-    side = classes.select("node", "sketch")
-    both = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    docs = docs.where("doc_id is not null")
+    marked, _ = save(prefixes(docs, similarity), "prefixes")
+    classes, _ = save(marked.where("size > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "rest")).alias("c"), F.count("*").alias("n")).select("digest", F.col("c.doc_id").alias("node"), "c.size", "c.rest", "n"), "classes")
+    same, _ = save(marked.select("doc_id", "digest").join(classes.where("n > 1").select("digest", "node"), "digest").where("doc_id <> node").select("doc_id", "digest"), "same")
+    first = marked.where("size > 0").join(F.broadcast(same) if same.count() <= BROADCAST_IDS else same, ["doc_id", "digest"], "left_anti")
+    keyed = first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    full, _ = save(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
+    met, _ = save(keyed.join(full, "key"), "met")
+    few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
+    crowd, _ = save(many.groupBy("node", "least").agg(F.count("*").alias("held")).join(classes.select("node", "size"), "node"), "crowd")
+    held = classes.select("node", "size", "rest").join(crowd.groupBy("node").agg(F.sum("held").alias("held")), "node", "left").fillna(0, ["held"])
+    counted = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    counted = counted.join(held.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("held").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("held").alias("hb")), "b")
+    able = (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (F.col("common") + F.least("ha", "hb") + F.greatest("ra", "rb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+    pairs, _ = save(counted.where(able).select("a", "b"), "pairs")
+    sets, _ = save(whole_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
-            alike = ((x == y) & (x != 65535)).sum(1) / np.maximum(1, ((x != 65535) | (y != 65535)).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike >= similarity))
-
-    links = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+            right = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(common / (len(x) + len(y) - common) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    links = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").union(crowded_links(crowd, sets, similarity))
     found = components(links)
-    named, _ = save(classes.join(found, "node", "left").select("sketch", F.coalesce("component", "node").alias("component_id")), "named")
-    return marked.join(named, "sketch", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named, _ = save(classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
+    return marked.join(named, "digest", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -143,6 +143,49 @@ def test_near_copies(make, awkward, nothing):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(awkward).collect()}[5] == 4
 
 
+def jaccard_components(rows, similarity=0.8):
+    """Smallest id reachable by links of that similarity, by plain comparison of all pairs."""
+    sets = {}
+    for i, t in rows:
+        words = t.lower().split()
+        sets[i] = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def copies(rng, n, length, changes):
+    """n texts of random words, and as many copies with some words changed."""
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(length)]
+        changed = list(words)
+        for at in rng.sample(range(0, length, 6), changes):
+            changed[at] = "".join(rng.choice("stuvwxyz") for _ in range(5))
+        rows += [(i, " ".join(words)), (10_000 + i, " ".join(changed))]
+    return rows
+
+
+def test_near_copies_whose_words_differ_much(make):
+    import random
+
+    rng = random.Random(8)
+    rows = copies(rng, 60, 200, 4) + [(i + 1000, t) for i, t in copies(rng, 20, 60, 1)] + [(i + 2000, t) for i, t in copies(rng, 20, 60, 2)]
+    wanted = jaccard_components(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()} == wanted and sum(i != c for i, c in wanted.items()) >= 80
+
+
 def repeats(rows):
     least = {}
     for i, t in rows:
