@@ -186,6 +186,33 @@ def test_near_copies_whose_words_differ_much(make):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()} == wanted and sum(i != c for i, c in wanted.items()) >= 80
 
 
+def test_near_copies_in_large_buckets(make, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 8, raising=False)
+    rng = random.Random(9)
+    passage = " ".join("".join(rng.choice("ijklmn") for _ in range(5)) for _ in range(60))
+    rows = [(i, f"{passage} {t}") for i, t in copies(rng, 40, 40, 1)]  # alike by the passage, copies or not, at about 0.4
+    chain, texts = copies(rng, 1, 150, 0)[0][1].split(), []
+    for k in range(60):  # each is like the one before, and hardly like those far before
+        chain[k * 2 % 150] = f"new{k}"
+        texts.append((20_000 + k * 3000, " ".join(chain)))
+    rows += texts
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()} == jaccard_components(rows)
+
+
+def test_near_copies_behind_an_unrelated_least_member(make):
+    import random
+
+    rng = random.Random(10)
+    passage = " ".join(["same"] * 3)
+    rows = [(i, f"{passage} {t}") for i, t in copies(rng, 80, 30, 0)]
+    rows = [(i, t + (" end" if i >= 10_000 else "")) for i, t in rows]  # copies over 1,024 ids apart
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()}
+    assert found == jaccard_components(rows) == {i: i % 10_000 for i, _ in rows}
+
+
 def repeats(rows):
     least = {}
     for i, t in rows:
