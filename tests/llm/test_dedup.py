@@ -213,6 +213,18 @@ def test_near_copies_behind_an_unrelated_least_member(make):
     assert found == jaccard_components(rows) == {i: i % 10_000 for i, _ in rows}
 
 
+def test_near_copies_at_the_similarity(make):
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 90, 3):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(105)]
+        rows += [(i, " ".join(words[:84])), (i + 1, " ".join(words[:104]))] if i % 2 else [(i, " ".join(words[:84])), (i + 2, " ".join(words))]
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()}
+    assert found == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}  # 80 of 100 shingles are enough, 80 of 101 aren't
+
+
 def repeats(rows):
     least = {}
     for i, t in rows:
