@@ -2,17 +2,20 @@
 
 1. Markup is stripped into lines, one for each block of text, in page order; a line knows the elements around
    it. Text of scripts, styles, forms and comments is no line. Lines inside page furniture (menus, headers,
-   footers, sidebars, notices, adverts, reader comments: by element, role, class or id) and lines that are
-   mostly links count as empty.
-2. The length of a line block is the sum over WINDOW lines from there. A surge point is a line whose block
-   reaches the threshold while the line itself isn't empty; the dive point after it is the first line from
-   which a whole window is empty. The text between surge and dive is kept.
-3. If the page marks an article (or main), only lines inside it count, and any text makes a surge.
+   footers, sidebars, notices, adverts, reader comments: by element, role, class or id) are dropped. A class or
+   id names furniture if all its parts do. Such a name doesn't count on an element with THRESHOLD characters and
+   most of the page's text (unless another part is marked as the article), nor around the only article.
+2. If the page marks an article (or main), all lines inside it are kept, and the distribution decides nothing.
+3. Otherwise lines that are mostly links, save single links and sentences in paragraphs, count as empty. The
+   length of a line block is the sum over WINDOW lines from there. Runs of text end where a whole window is empty.
+   A run is kept if one of its blocks reaches the threshold, or the page's largest block if that is less; so
+   is a run with a line in the same element as a line of these.
 
 White space, that of references such as &nbsp; included, becomes one space; <br> is white space. Blocks are
 joined by one line feed.
 
-Defined results: null and empty pages give an empty text, as do pages of furniture only. Pages cut off in a
+Defined results: null and empty pages give an empty text, as do pages of furniture only, and unmarked pages
+with a single word. Pages cut off in a
 tag lose that tag. Unclosed paragraphs end where the next block starts. Repeated rows give repeated results;
 null ids and urls are kept. Only page_id, url and html are read.
 """
@@ -37,6 +40,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_BEFORE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 MARKS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget widgets".split())
+#: Words that leave the meaning of a mark as it is: related-posts, but not related-work.
+BESIDE = frozenset("area articles bar block bottom box btn button buttons col column container content fixed form global group icons inner item items layer left links list main media news overlay page panel post posts primary right secondary section site slot small stories sticky top unit wrap wrapper".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -52,40 +58,50 @@ PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Line:
     text: str
     linked: int
-    furniture: bool
+    links: int
+    marks: tuple[tuple[int, str], ...]  # elements around it that look like furniture, by number and kind
+    inner: tuple[tuple[int, str], ...]  # those of them inside the innermost article
     article: bool
+    paragraph: bool
+    parent: int
 
 
-def is_furniture(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element starts page furniture. inside: it stands in an article."""
+def furniture(name: str, attrs: str, inside: bool) -> str:
+    """How an element starts page furniture: sure, named, comments or not (empty). inside: it stands in an article."""
     if name in FURNITURE or name == "header" and not inside:
-        return True
+        return "sure"
     if not attrs.strip() or name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return ""
+    kind = ""
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and any(p.lower() in MARKS for p in PARTS.findall(value)):
-            return True
+        if key in ("class", "id"):
+            for token in value.split():
+                own = {p.lower() for p in PARTS.findall(token)}
+                if own & MARKS and own <= MARKS | BESIDE:
+                    kind = "comments" if own & COMMENTS else kind or "named"
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "sure"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "sure"
+    return kind
 
 
 def lines(page: str) -> list[Line]:
     """The blocks of a page in order."""
     found: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, in furniture, in an article
+    stack: list[tuple] = [("", (), (), False, 0)]  # name, marks, inner, in an article, number
     text: list[str] = []
-    linked = 0
+    linked = links = number = 0
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if joined := " ".join("".join(text).split()):
-            found.append(Line(joined, linked, stack[-1][1], stack[-1][2]))
+            _, marks, inner, inside, _ = stack[-1]
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in BLOCKS), 0)
+            found.append(Line(joined, linked, links, marks, inner, inside, stack[at][0] == "p", stack[max(0, at - 1)][4]))
         text.clear()
-        linked = 0
+        linked = links = 0
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -123,9 +139,17 @@ def lines(page: str) -> list[Line]:
                 if stack[-1][0] in ("li", "dd", "dt", "td", "th", "tr", "option") and stack[-1][0] not in ENDS_BEFORE.get(name, ()):
                     break
                 stack.pop()
-        _, dull, inside = stack[-1]
+        links += name == "a"
+        number += 1
+        _, marks, inner, inside, _ = stack[-1]
         inside = inside or name in ("article", "main") or 'role="main"' in m["attrs"]
-        stack.append((name, dull and name != "main" or is_furniture(name, m["attrs"], inside), inside))
+        if name == "main":
+            marks = inner = ()
+        elif name == "article" and all(kind != "comments" for _, kind in inner):
+            inner = ()
+        if kind := furniture(name, m["attrs"], inside):
+            marks, inner = (*marks, (number, kind)), (*inner, (number, kind))
+        stack.append((name, marks, inner, inside, number))
     add(page[last:])
     end_line()
     return found
@@ -134,15 +158,39 @@ def lines(page: str) -> list[Line]:
 def main_text(page: str | None) -> str:
     """The kept blocks of a page, joined by line feeds."""
     own = lines(page or "")
-    marked = any(x.article and not x.furniture for x in own)
-    size = [0 if x.furniture or marked and not x.article or not marked and x.linked * 2 > len(x.text) else len(x.text) for x in own]
-    block = [sum(size[i : i + WINDOW]) for i in range(len(size))]
-    kept, inside = [], False
+    if not any(x.article and not x.marks for x in own):  # what is around the only article isn't furniture
+        for x in own:
+            x.marks = x.inner if x.article else x.marks
+    plain = [x for x in own if all(kind == "named" for _, kind in x.marks)]
+    held: dict[int, int] = {}
+    for x in plain:
+        for n, _ in x.marks:
+            held[n] = held.get(n, 0) + len(x.text)
+    most = {n for n, size in held.items() if size >= THRESHOLD and size * 2 > sum(len(x.text) for x in plain)}
+    if any(x.article and not x.marks for x in plain):
+        most = set()
+    own = [x for x in plain if all(n in most for n, _ in x.marks)]
+    if any(x.article for x in own):
+        return "\n".join(x.text for x in own if x.article)
+    if len(own) == 1 and " " not in own[0].text:
+        return ""
+    heavy = [x.linked * 2 > len(x.text) for x in own]
+    size = []
     for i, x in enumerate(own):
-        inside = bool(block[i]) and (inside or bool(size[i]) and block[i] >= (1 if marked else THRESHOLD))
-        if inside and size[i]:
-            kept.append(x.text)
-    return "\n".join(kept)
+        sentence = x.paragraph and (x.links == 1 or x.linked + 3 < len(x.text))
+        alone = x.links == 1 and not any(heavy[max(0, i - 1) : i] + heavy[i + 1 : i + 2])
+        size.append(0 if heavy[i] and not sentence and not alone else len(x.text))
+    block = [sum(size[i : i + WINDOW]) for i in range(len(size))]
+    runs: list[list[int]] = [[]]
+    for i in range(len(own)):
+        if not block[i]:
+            runs.append([])
+        elif size[i]:
+            runs[-1].append(i)
+    enough = min(THRESHOLD, max(block, default=0))
+    dense = [any(block[i] >= enough for i in run) for run in runs]
+    around = {own[i].parent for run, is_dense in zip(runs, dense, strict=True) if is_dense for i in run}
+    return "\n".join(own[i].text for run, is_dense in zip(runs, dense, strict=True) if is_dense or any(own[i].parent in around for i in run) for i in run)
 
 
 def extract(pages: DataFrame) -> DataFrame:

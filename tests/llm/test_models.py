@@ -265,6 +265,15 @@ def test_html_main_text():
     assert html_text.main_text(cut) == wanted
 
 
+def test_html_unmarked_pages_keep_short_text():
+    assert html_text.main_text("<div id='content'><h1>Notice</h1><p>Closed on Monday.</p></div>") == "Notice\nClosed on Monday."
+    words = "word " * 40 + "end."
+    dull = "<div class='ad'>Buy</div><form>Name</form><div class='share'>Share</div><div class='promo'>More</div>"
+    assert html_text.main_text(PAGE % f"<div class='content'><h1>Title</h1><p>{words}</p>{dull}<p>Bye.</p></div>") == f"Title\n{words}\nBye."
+    links = "<ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a><li><a href=/4>Four</a></ul>"
+    assert html_text.main_text(f"<div>{links}</div><div><p>{words}</p><p>See <a href=/r>the whole report</a>.</p>{links}<p>Bye.</p></div><div>{links}</div>") == f"{words}\nSee the whole report.\nBye."
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE % "<main><p>a</p></main>", "x"), (1, "u", PAGE % "<main><p>a</p></main>", "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("a", 1), ("a", 1)]
