@@ -274,6 +274,18 @@ def test_html_unmarked_pages_keep_short_text():
     assert html_text.main_text(f"<div>{links}</div><div><p>{words}</p><p>See <a href=/r>the whole report</a>.</p>{links}<p>Bye.</p></div><div>{links}</div>") == f"{words}\nSee the whole report.\nBye."
 
 
+def test_html_wrappers_are_not_furniture():
+    for start in ("div class='layout has-sidebar'", "div id='no-sidebar'", "div class='social-impact'", "section class='related-work'"):
+        name = start.split()[0]
+        assert html_text.main_text(f"<body><{start}><p>Some text.</p></{name}><p>Other text that is longer.</p></body>") == "Some text.\nOther text that is longer."
+    for mark in ("container with-sidebar", "sidebar", "page-widget"):
+        page = f"<div class='{mark}'><article><p>Text.</p><div class='ad'>Buy</div></article><div class='comments'><article>nice</article></div></div>"
+        assert html_text.main_text(page) == "Text."
+    most = "Most of the text of this page. " * 3 + "End."
+    assert html_text.main_text(f"<div class='widget'><p>{most}</p></div><p>Short.</p>") == f"{most}\nShort."
+    assert html_text.main_text("<article><p>Text.</p></article><div class='related-posts'><article>Another one, rather long</article></div>") == "Text."
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE % "<main><p>a</p></main>", "x"), (1, "u", PAGE % "<main><p>a</p></main>", "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("a", 1), ("a", 1)]
