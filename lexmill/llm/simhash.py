@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import repeat
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -149,12 +149,12 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def prefixes(docs: DataFrame, similarity: float) -> DataFrame:
+def prefixes(docs: DataFrame, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
     """doc_id, digest (of the set), size, rest, keys: all but rest of a set's shingles, rarest first.
 
     Sets of that similarity share at least rest + 1 of either's shingles, so each has one of those among its keys.
+    known (sorted) are shingles that come last, by their counts; the others come in order of their hashes.
     """
-    known, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 1):
@@ -210,14 +210,17 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 
 def crowded_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among members of large buckets. crowd: node, least (of the bucket), size.
+    """Links (a, b) among members of large buckets. crowd: key, node, size.
 
-    Buckets that share members are one group, so that a pair isn't compared in each of its buckets. A group's
-    members are dealt into blocks, and every two blocks meet in one cell, which compares all its members.
+    Members are split by size, each into two classes, so that two of that similarity are in one. Buckets of a class
+    that share members are one group, so that a pair isn't compared in each of its buckets. A group's members are
+    dealt into blocks, and every two blocks meet in one cell, which compares all its members.
     """
-    named = components(crowd.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    grouped, _ = save(named.withColumnRenamed("component", "grp").join(crowd.select("node", "size").distinct(), "node"), "grouped")
-    blocks = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n"))
+    level = F.floor(F.log("size") / (log(1 / similarity) + 1e-6))
+    split = crowd.withColumn("level", F.explode(F.array(level, level + 1))).withColumn("vertex", F.xxhash64("node", "level"))
+    named = components(split.select(F.xxhash64("key", "level", F.lit("bucket")).alias("a"), F.col("vertex").alias("b")))
+    grouped, _ = save(named.select(F.col("node").alias("vertex"), F.col("component").alias("grp")).join(split.select("vertex", "node", "size").distinct(), "vertex").drop("vertex"), "grouped")
+    blocks = grouped.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n"), F.count("*").alias("members")).where("members > 1")
     dealt = grouped.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     dealt = dealt.where("n = 1 or block <> other").select("node", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
@@ -229,6 +232,14 @@ def crowded_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return dealt.join(sets, "node").select("grp", "i", "j", "node", "own").groupBy("grp", "i", "j").applyInArrow(cell, "a long, b long")
 
 
+def _keyed(first: DataFrame) -> DataFrame:
+    return first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+
+
+def _shared(first: DataFrame) -> DataFrame:
+    return _keyed(first).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity (Jaccard) of their sets of five-word shingles.
 
@@ -239,16 +250,29 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows with null doc_id, have no copies.
     """
     docs = docs.where("doc_id is not null")
-    marked, _ = save(prefixes(docs, similarity), "prefixes")
+    known, counts = frequent_shingles(docs)
+    marked, _ = save(prefixes(docs, similarity, known, counts), "prefixes")
     classes, _ = save(marked.where("size > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "rest")).alias("c"), F.count("*").alias("n")).select("digest", F.col("c.doc_id").alias("node"), "c.size", "c.rest", "n"), "classes")
     same, _ = save(marked.select("doc_id", "digest").join(classes.where("n > 1").select("digest", "node"), "digest").where("doc_id <> node").select("doc_id", "digest"), "same")
     first = marked.where("size > 0").join(F.broadcast(same) if same.count() <= BROADCAST_IDS else same, ["doc_id", "digest"], "left_anti")
-    keyed = first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    full, _ = save(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "buckets")
+    full, _ = save(_shared(first), "buckets")
+    hot, _ = save(full.where(F.col("n") > SMALL).orderBy(F.desc("n"), "key").limit(FREQUENT), "hot")
+    if (rows := hot.toArrow()).num_rows:
+        # keys of large buckets come last from here on; texts without them among their keys keep these
+        moved, more = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy() + (1 << 40)
+        stay = ~np.isin(known, moved)
+        known, counts = np.concatenate([known[stay], moved]), np.concatenate([counts[stay], more])
+        order = np.argsort(known)
+        ids, _ = save(_keyed(first).join(F.broadcast(hot), "key", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "reordered")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        again = prefixes(docs.join(ids, "doc_id", "left_semi"), similarity, known[order], counts[order])
+        first, _ = save(first.join(ids, "doc_id", "left_anti").select("doc_id", "keys").union(again.select("doc_id", "keys")), "prefixes")
+        full, _ = save(_shared(first), "buckets")
+    keyed = _keyed(first)
     met, _ = save(keyed.join(full, "key"), "met")
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-    crowd, _ = save(many.groupBy("node", "least").agg(F.count("*").alias("held")).join(classes.select("node", "size"), "node"), "crowd")
-    held = classes.select("node", "size", "rest").join(crowd.groupBy("node").agg(F.sum("held").alias("held")), "node", "left").fillna(0, ["held"])
+    crowd, _ = save(many.select("key", "node").join(classes.select("node", "size"), "node"), "crowd")
+    held = classes.select("node", "size", "rest").join(many.groupBy("node").agg(F.count("*").alias("held")), "node", "left").fillna(0, ["held"])
     counted = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
     counted = counted.join(held.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("held").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("held").alias("hb")), "b")
     able = (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (F.col("common") + F.least("ha", "hb") + F.greatest("ra", "rb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
