@@ -44,7 +44,8 @@ def _pattern(kind: str, words: str, number: str, dash: str) -> str:
 
 
 def _n_words(c: Column) -> Column:
-    return F.size(F.split(c, rx.WHITE + "+"))
+    """Of a stripped text."""
+    return F.regexp_count(c, F.lit(rx.WHITE + "+")) + 1
 
 
 def _short(tail: Column, chars: int = 120, words: int = 14, marks: int = 1) -> Column:
@@ -82,7 +83,7 @@ def _decided(line: Column, profile: Profile, policy: str) -> Column:
         return F.when(~(marked & _short(tail, words=words) & ~_weak(tail)), no).when(depth == 0, _heading("section", label)).otherwise(deeper)
 
     def symbolic(num: Column, title: Column, tail: Column) -> Column:
-        fits = (num == F.upper(num)) & _short(tail, words=words)
+        fits = ~num.rlike(r"\p{IsLowercase}") & _short(tail, words=words)
         if profile.switch("block_signatures"):
             name = r"(?:(?:[A-Z]\.){1,3}|[A-Z][A-Z-]+)"
             fits &= ~((F.length(num) == 1) & tail.rlike(rf"^{name}(?:\s+{name}){{0,2}}$"))
@@ -97,7 +98,7 @@ def _decided(line: Column, profile: Profile, policy: str) -> Column:
             return F.when(fits, _heading("other" if kind == "schedule" else kind, label))
         if kind == "article":
             cited = line.rlike(rx.CASELESS + r"\barticle\s+\d+\(")
-            fits = ~tail.startswith("(") & ~F.upper(tail).startswith("TFEU") & ~cited & ((tail == "") | (tail.rlike(r"\p{IsAlphabetic}") & _short(tail)))
+            fits = ~tail.startswith("(") & ~tail.rlike(r"(?iu)\ATFEU") & ~cited & ((tail == "") | (tail.rlike(r"\p{IsAlphabetic}") & _short(tail)))
             return F.when(fits, _heading("article", label, num))
         if kind == "rule":
             limits = (140, 20, 4) if profile.switch("long_rule_titles") else (120, 14, 1)
@@ -117,13 +118,18 @@ def _decided(line: Column, profile: Profile, policy: str) -> Column:
     return F.coalesce(*tried)
 
 
+def _start(profile: Profile) -> str:
+    """How any heading starts: a keyword, a numeral, a digit or a letter with a point. Few lines get further."""
+    words = [w for kind, w, _, _ in v.HEADINGS[profile.code] if kind not in ("roman", "alpha", "numeric")]
+    return rx.CASELESS + rf"\A(?:[IVXLCDM]+(?:[.)]|\b)|\d|[A-Z]\.|{'|'.join(words)})"
+
+
 def detect_heading(line: Column, profile: Profile | str = "generic", policy: str = "default") -> Column:
     """struct(kind, label, article_number, paragraph_number), or null where the line is no heading."""
     own = resolve(profile)
 
     def found(text: Column) -> Column:
-        # a word, a number or a sign with little after it: few lines get as far as the patterns
-        likely = text.rlike(r"(?U)\A(?:\S{1,32}\s|[\d§]|[A-Za-z]\.|(?iu:schedule|annex|appendix|exhibit|приложение|прил|аннекс))")
+        likely = text.rlike(_start(own))
         rest = rx.strip(F.regexp_extract(text, PREFIXED, 1))
         candidates = F.when(text.rlike(PREFIXED), F.array(rest, text)).otherwise(F.array(text))
         decided = F.filter(F.transform(candidates, lambda t: _decided(t, own, policy)), lambda h: h["kind"].isNotNull())

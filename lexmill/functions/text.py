@@ -13,15 +13,18 @@ def _text(c: Column | str) -> Column:
 
 
 def normalize_extracted(text: Column | str) -> Column:
-    """Line feeds only, plain spaces and hyphens, lines tightened and stripped, at most one empty line in a row."""
-    t = F.regexp_replace(_text(text), r"\r\n|[\r\x0C]", "\n")
-    t = F.translate(t, "\u00a0\u202f\u2009\u2011\u00ad\u0000", "   -")
-    gap = rx.WHITE[:-1] + r"&&[^\n]]*"
-    t = F.regexp_replace(t, rf"{rx.PREFIX}(?<=\w){gap}-{gap}(?=\w)", "-")
-    t = F.regexp_replace(t, r"[ \t\x0B]+", " ")
-    edge = rx.WHITE[:-1] + r"&&[^\n]]"
-    t = F.regexp_replace(t, rf"(?dm)^{edge}+|{edge}+$", "")
-    return rx.strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Line feeds only, plain spaces and hyphens, lines tightened and stripped, at most one empty line in a row.
+
+    Each step that few texts need first asks a cheap pattern; none matches what it would leave as it is.
+    """
+    gap = rx.WHITE[:-1] + r"&&[^\n]]"
+    t = rx.gated(_text(text), r"[\r\x0C]", lambda x: F.regexp_replace(x, r"\r\n|[\r\x0C]", "\n"))
+    t = rx.gated(t, r"[\x00\xAD\xA0\x{2009}\x{2011}\x{202F}]", lambda x: F.translate(x, "\u00a0\u202f\u2009\u2011\u00ad\u0000", "   -"))
+    # a hyphen or the first space after a word: only there does the pattern look back
+    t = rx.gated(t, "-", lambda x: F.regexp_replace(x, rf"{rx.PREFIX}(?:-(?<=\w-)|{gap}(?<=\w{gap}){gap}*-){gap}*(?=\w)", "-"))
+    t = F.regexp_replace(t, r" [ \t\x0B]+|[\t\x0B][ \t\x0B]*", " ")
+    t = F.regexp_replace(t, rf"(?dm)^{gap}+|{gap}+$", "")
+    return rx.strip(rx.gated(t, r"\n\n\n", lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n")))
 
 
 def normalize_chunk(text: Column | str) -> Column:
@@ -57,17 +60,19 @@ def normalize_numeric_scripts(text: Column | str) -> Column:
     t = _text(text)
     after_dot = rf"{rx.PREFIX}(?<=\d)\.[{SUPERSCRIPTS}]+"
     after_digit = rf"{rx.PREFIX}(?<=\d)[{SUPERSCRIPTS}]+"
-    t = rx.replaced(t, after_dot, lambda m: F.translate(m["text"], SUPERSCRIPTS, DIGITS))
-    t = rx.replaced(t, after_digit, lambda m: F.concat(F.lit("."), F.translate(m["text"], SUPERSCRIPTS, DIGITS)))
-    return F.translate(t, SUBSCRIPTS, DIGITS)
+
+    def raised(x: Column) -> Column:
+        plain = lambda m: F.translate(m["text"], SUPERSCRIPTS, DIGITS)
+        return rx.let(rx.replaced(x, after_dot, plain), lambda y: rx.replaced(y, after_digit, lambda m: F.concat(F.lit("."), plain(m))))
+
+    return F.translate(rx.gated(t, f"[{SUPERSCRIPTS}]", raised), SUBSCRIPTS, DIGITS)
 
 
 def normalize_article_number(value: Column) -> Column:
     """Numeric scripts resolved, and 229(5), 229_5 or 229-5 as 229.5; null if nothing is left."""
-    t = rx.strip(normalize_numeric_scripts(value))
     structured = rf"{rx.PREFIX}\A(\d{{2,4}})(?:\((\d{{1,2}})\)|_(\d{{1,2}})|-(\d))\z"
-    own = F.when(t.rlike(structured), F.regexp_replace(t, structured, "$1.$2$3$4")).otherwise(t)
-    return F.when(value.isNotNull(), F.nullif(own, F.lit("")))
+    own = F.regexp_replace(rx.strip(normalize_numeric_scripts(value)), structured, "$1.$2$3$4")
+    return F.when(value.isNotNull(), rx.let(own, lambda t: F.when(t != "", t)))
 
 
 def extract_number(raw: Column) -> Column:
@@ -93,7 +98,7 @@ def normalize_guidance(text: Column | str) -> Column:
     """Points that start inside a line get a line of their own; artifacts go; one empty line at most."""
     t = F.regexp_replace(_text(text), rf"{rx.PREFIX}(?<!\n)[ \t]+(\d{{1,3}})\.\s*\n(?=[A-ZА-ЯЁ])", "\n$1. ")
     kept = F.transform(F.split(t, rx.LINE_ENDS, -1), rx.strip)
-    kept = F.filter(kept, lambda s: (s == "") | ~is_guidance_artifact(s))
+    kept = F.filter(kept, lambda s: (s == "") | ~s.rlike(rx.PREFIX + r"\A\d") | ~is_guidance_artifact(s))  # artifacts start with a digit
     return rx.strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
