@@ -6,6 +6,8 @@ through their document. Paragraph arrays stay per section, so nothing grows beyo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,29 +229,45 @@ def splits(profile: Profile | str, policy: str, limits: Limits | None = None) ->
     return rx.let(rx.strip(F.col("text")), cut)
 
 
+def _pieces(found: DataFrame, own: Profile, policy: str, limits: Limits | None, explode: Callable) -> DataFrame:
+    """Section rows, one for each split, with piece: the text of a chunk, empty where there is none."""
+    cut = found.withColumn("splits", F.when(rx.strip(F.col("text")) != "", splits(own, policy, limits)))
+    flat = cut.select(*found.columns, explode("splits").alias("split_no", "e"))
+    return flat.withColumn("piece", rx.once(text.normalize_chunk("e.text")))
+
+
+def _columns(order: Column, code: str) -> dict[str, Column]:
+    """The columns of a chunk from a row of _pieces() and its number in the document."""
+    chunk_id = text.short_id("chunk-", F.col("source_name"), F.lit(":"), F.col("section_id"), F.lit(":"), order.cast("string"), F.lit(":"), F.col("e.method"), F.lit(":"), text.identity_hash("piece", code))
+    known = {"legal_unit_type": "e.unit_type", "legal_unit_number": "e.unit_number", "definition_term": "e.term"}
+    merged = F.struct(*((F.coalesce(F.nullif(F.col(known[n]), F.lit("")), F.col(f"metadata.{n}")) if n in known else F.col(f"metadata.{n}")).alias(n) for n in METADATA))
+    return {
+        "chunk_id": chunk_id, "text": F.col("piece"), "order": order, "chunk_method": F.col("e.method"), "page": F.lit(None).cast("int"), "section_id": F.col("section_id"), "section_title": F.col("title"),
+        "section_type": F.coalesce(F.nullif(F.col("section_type"), F.lit("")), F.col("kind")), "metadata": merged, "semantic_hash": text.semantic_hash("piece"),
+    }
+
+
 def chunks_of(found: DataFrame, profile: Profile | str, policy: str, limits: Limits | None = None) -> DataFrame:
     """Chunks of section rows, numbered from 1 in each document, with their neighbours' ids."""
     own = resolve(profile)
-    cut = found.where(rx.strip(F.col("text")) != "").withColumn("splits", splits(own, policy, limits))
-    flat = cut.select("doc_id", "source_name", "section_id", "title", "kind", "section_type", "metadata", F.col("order").alias("section_order"), F.posexplode("splits").alias("split_no", "e"))
-    flat = flat.withColumn("text", text.normalize_chunk("e.text")).where("text <> ''")
-    order = Window.partitionBy("doc_id").orderBy("section_order", "split_no")
-    numbered = flat.withColumn("order", F.row_number().over(order))
-    chunk_id = text.short_id("chunk-", F.col("source_name"), F.lit(":"), F.col("section_id"), F.lit(":"), F.col("order").cast("string"), F.lit(":"), F.col("e.method"), F.lit(":"), text.identity_hash("text", own.code))
-    known = {"legal_unit_type": "e.unit_type", "legal_unit_number": "e.unit_number", "definition_term": "e.term"}
-    merged = F.struct(*((F.coalesce(F.nullif(F.col(known[n]), F.lit("")), F.col(f"metadata.{n}")) if n in known else F.col(f"metadata.{n}")).alias(n) for n in METADATA))
-    made = numbered.select(
-        "doc_id", "source_name", chunk_id.alias("chunk_id"), "text", "order", F.col("e.method").alias("chunk_method"), F.lit(None).cast("int").alias("page"), "section_id", F.col("title").alias("section_title"),
-        F.coalesce(F.nullif(F.col("section_type"), F.lit("")), F.col("kind")).alias("section_type"), merged.alias("metadata"), text.semantic_hash("text").alias("semantic_hash"),
-    )
+    flat = _pieces(found, own, policy, limits, F.posexplode).where("piece <> ''")
+    numbered = flat.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("order", "split_no")))
+    made = numbered.select("doc_id", "source_name", *(c.alias(n) for n, c in _columns(F.col("number"), own.code).items()))
     next_to = Window.partitionBy("doc_id").orderBy("order")
     return made.withColumns({"prev_chunk_id": F.lag("chunk_id").over(next_to), "next_chunk_id": F.lead("chunk_id").over(next_to)})
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to spark.sql.shuffle.partitions by the keys. Work on text costs far more than its bytes tell, and
+    adaptive execution would put small texts into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def normalized(docs: DataFrame) -> DataFrame:
-    """doc_id, source_name, text as the pipeline sees them."""
+    """doc_id, source_name, text as the pipeline sees them, dealt by doc_id: the one shuffle of all that follows."""
     name = F.coalesce("source_name", F.lit("<memory>")) if "source_name" in docs.columns else F.lit("<memory>")
-    return docs.select("doc_id", name.alias("source_name"), rx.once(text.normalize_extracted("text")).alias("text"))
+    own = spread(docs.select("doc_id", name.alias("source_name"), "text"), "doc_id")
+    return own.select("doc_id", "source_name", rx.once(text.normalize_extracted("text")).alias("text"))
 
 
 def chunks(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str | None = None, limits: Limits | None = None) -> DataFrame:
@@ -259,14 +277,19 @@ def chunks(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str |
 
 
 def documents(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str | None = None, limits: Limits | None = None) -> DataFrame:
-    """One row per document with its sections and chunks nested, in order."""
+    """One row per document with its sections and chunks nested, in order. Sections are found once for both."""
     own, policy = resolve(profile), chunk_policy(profile, doc_kind)
     base = normalized(docs)
     found = sections(base, own, policy, doc_kind)
-
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        fields = [c for c in df.columns if c not in ("doc_id", "source_name", "order")]
-        return df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", *fields))).alias(name))
-
-    joined = base.join(nested(found, "sections"), "doc_id", "left").join(nested(chunks_of(found, own, policy, limits), "chunks"), "doc_id", "left")
+    fields = [c for c in found.columns if c not in ("doc_id", "source_name", "order")]
+    flat = _pieces(found, own, policy, limits, F.posexplode_outer)
+    so_far = F.sum((F.col("piece") != "").cast("int")).over(Window.partitionBy("doc_id").orderBy("order", "split_no")).cast("int")
+    columns = _columns(F.col("number"), own.code)
+    chunk = F.struct(columns.pop("order").alias("order"), *(c.alias(n) for n, c in columns.items()))
+    section = F.when(F.coalesce("split_no", F.lit(0)) == 0, F.struct("order", *fields))
+    both = flat.withColumn("number", so_far).select("doc_id", section.alias("section"), F.when(F.col("piece") != "", chunk).alias("chunk"))
+    nested = both.groupBy("doc_id").agg(F.array_sort(F.collect_list("section")).alias("sections"), F.array_sort(F.collect_list("chunk")).alias("own"))
+    beside = lambda c, i, step: F.get(F.col("own"), i + step)["chunk_id"]
+    linked = F.transform("own", lambda c, i: c.withField("prev_chunk_id", F.when(i > 0, beside(c, i, -1))).withField("next_chunk_id", beside(c, i, 1)))
+    joined = base.join(nested.select("doc_id", "sections", F.when(F.size("own") > 0, linked).alias("chunks")), "doc_id", "left")
     return joined.select("doc_id", "source_name", F.lit(own.code).alias("profile"), F.lit(own.language).cast("string").alias("language"), "text", F.lit(policy).alias("chunk_policy"), "sections", "chunks")

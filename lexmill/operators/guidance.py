@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import rx, text
+from ..functions import rx
 from ..plans import vocabulary as v
 from ..plans.profiles import Profile, resolve
 
@@ -13,50 +13,54 @@ POINT = r"(?dUm)^(?:(?iu:пункт)\s+)?\d{1,3}\.\s+(?=[A-ZА-ЯЁ])"
 CITED = rx.CASELESS + r"\A(?:определение\s+судебной\s+коллегии|см\.\s+также)\b"
 
 
-def split_points(body: Column) -> Column:
-    """Admissible starts of points in a stripped text: array of struct(start, past, number).
+def split_blocks(body: Column, any_start: bool = True, min_points: int = 1) -> Column:
+    """array of struct(method, text, number, start): guidance_preamble, guidance_point or guidance_paragraph.
 
-    A start after № isn't one, nor is one whose first line is empty or only cites a decision.
+    A start after № isn't one, nor is one whose first line only cites a decision. Each test looks at the gaps beside
+    a start only, and blocks are put together from gaps, so the work grows with the text. start (of preamble and
+    points) counts characters of the stripped text.
     """
+    block = lambda m, t, n=None, at=None: F.struct(F.lit(m).alias("method"), t.alias("text"), F.lit(n).cast("string").alias("number"), F.lit(at).cast("int").alias("start"))
 
-    def admissible(m: Column) -> Column:
-        head = F.regexp_replace(F.substring(body, 1, m["start"]), rx.WHITE + r"+\z", "")
-        tail = F.regexp_replace(F.substring(body, m["past"] + 1, F.length(body)), r"\A" + rx.WHITE + "+", "")
-        first = F.regexp_extract(tail, r"\A[^\n]*", 0)
-        return ~head.endswith("№") & (first != "") & ~first.rlike(CITED)
-
-    kept = F.filter(rx.spans(body, POINT), admissible)
-    return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["past"].alias("past"), F.regexp_extract(m["text"], r"\d{1,3}", 0).alias("number")))
+    def found(text: Column) -> Column:
+        return F.struct(text.alias("body"), F.regexp_extract_all(text, F.lit(POINT), F.lit(0)).alias("starts"), rx.between(text, POINT).alias("gaps"))
 
+    def kept(x: Column) -> Column:
+        starts, gaps = x["starts"], x["gaps"]
+        first = lambda i: F.substring_index(F.get(gaps, i + 1), "\n", 1)
+        good = lambda i: ~F.rtrim(F.get(gaps, i), F.lit(rx.WHITE_CHARS)).endswith("№") & ~first(i).rlike(CITED)
+        at = F.filter(F.transform(starts, lambda _, i: F.when(good(i), i)), lambda i: i.isNotNull())
+        pieces = F.transform(starts, lambda s, i: F.concat(s, F.get(gaps, i + 1)))
+        return F.struct(x["body"].alias("body"), F.get(gaps, F.lit(0)).alias("first"), starts.alias("starts"), pieces.alias("pieces"), at.alias("at"))
 
-def split_blocks(body: Column, any_start: bool = True, min_points: int = 1) -> Column:
-    """array of struct(method, text, number): guidance_preamble, guidance_point or guidance_paragraph."""
-    block = lambda m, t, n: F.struct(F.lit(m).alias("method"), t.alias("text"), n.cast("string").alias("number"))
-    none = F.lit(None)
+    def placed(x: Column) -> Column:
+        sizes = F.concat(F.array(F.length(x["first"])), F.transform(x["pieces"], F.length))
+        numbers = F.transform(x["at"], lambda i: F.regexp_extract(F.get(x["starts"], i), r"\d{1,3}", 0))
+        return F.struct(x["body"].alias("body"), x["first"].alias("first"), x["pieces"].alias("pieces"), x["at"].alias("at"), numbers.alias("numbers"), rx.before(sizes).alias("offsets"))
 
     def cut(x: Column) -> Column:
-        body, starts = x["body"], x["starts"]
-        numbers = F.transform(starts, lambda s: s["number"].cast("int"))
-        pairs = F.size(F.filter(F.transform(starts, lambda s, i: F.get(starts, i + 1)["number"].cast("int") == s["number"].cast("int") + 1), lambda ok: F.coalesce(ok, F.lit(False))))
-        whole = F.array(block("guidance_paragraph", body, none))
+        body, at, numbers = x["body"], x["at"], x["numbers"]
+        whole = F.array(block("guidance_paragraph", body))
         nothing = F.filter(whole, lambda _: F.lit(False))
-        paragraphs = F.transform(F.filter(F.transform(F.split(body, r"\n{2,}"), rx.strip), lambda p: p != ""), lambda p: block("guidance_paragraph", p, none))
-        preamble = rx.strip(F.substring(body, F.lit(1), F.get(starts, F.lit(0))["start"]))
-        own = F.transform(starts, lambda s, i: block("guidance_point", rx.strip(F.substring(body, s["start"] + 1, F.coalesce(F.get(starts, i + 1)["start"], F.length(body)) - s["start"])), s["number"]))
-        pointed = F.concat(F.when(preamble != "", F.array(block("guidance_preamble", preamble, none))).otherwise(nothing), F.filter(own, lambda b: b["text"] != ""))
-        few = F.size(starts) < max(1, min_points)
+        paragraphs = F.transform(F.filter(F.transform(F.split(body, r"\n{2,}"), rx.strip), lambda p: p != ""), lambda p: block("guidance_paragraph", p))
+        joined = lambda first, past: F.array_join(F.slice(x["pieces"], first + 1, past - first), "")
+        preamble = rx.strip(F.concat(x["first"], joined(F.lit(0), F.coalesce(F.get(at, F.lit(0)), F.lit(0)))))
+        own = F.transform(at, lambda i, k: block("guidance_point", rx.strip(joined(i, F.coalesce(F.get(at, k + 1), F.size(x["pieces"])))), F.get(numbers, k), F.get(x["offsets"], i + 1)))
+        pointed = F.concat(F.when(preamble != "", F.array(block("guidance_preamble", preamble, None, 0))).otherwise(nothing), F.filter(own, lambda b: b["text"] != ""))
+        few = F.size(at) < max(1, min_points)
         if not any_start:
-            few = few | (F.get(numbers, F.lit(0)) != 1)
+            few = few | (F.get(numbers, F.lit(0)).cast("int") != 1)
+        pairs = F.size(F.filter(F.transform(numbers, lambda n, k: F.get(numbers, k + 1).cast("int") == n.cast("int") + 1), lambda ok: F.coalesce(ok, F.lit(False))))
         return F.when(body == "", nothing).when(few, whole).when(pairs < max(0, min_points - 1), paragraphs).otherwise(pointed)
 
-    return rx.let(rx.let(rx.strip(F.coalesce(body, F.lit(""))), lambda t: F.struct(t.alias("body"), split_points(t).alias("starts"))), cut)
+    own = rx.let(rx.strip(F.coalesce(body, F.lit(""))), found)
+    for step in (kept, placed, cut):
+        own = rx.let(own, step)
+    return own
 
 
-def points(docs: DataFrame) -> DataFrame:
-    """doc_id, source_name, body, number_of, e: the blocks of documents that have points."""
-    own = docs.select("doc_id", "source_name", rx.once(text.normalize_guidance("text")).alias("body")).where("body <> ''")
-    blocks = own.withColumn("blocks", rx.once(split_blocks(F.col("body")))).where(F.exists("blocks", lambda b: b["method"] == "guidance_point"))
-    return blocks.select("doc_id", "source_name", "body", F.posexplode("blocks").alias("number_of", "e"))
+def is_pointed(blocks: Column) -> Column:
+    return F.exists(blocks, lambda b: b["method"] == "guidance_point")
 
 
 CASE = ["source_case_reference", "source_case_number", "source_case_date", "source_case_court"]
@@ -85,36 +89,3 @@ def case_metadata(body: Column, profile: Profile | str, doc_kind: str | None = N
         return F.struct(reference.alias(CASE[0]), field(v.CASE_NUMBER).alias(CASE[1]), field(v.CASE_DATE).alias(CASE[2]), F.when(reference.isNotNull(), court).alias(CASE[3]))
 
     return rx.let(rx.let(view, cited), fields)
-
-
-def sections(pointed: DataFrame, profile: Profile | str, doc_kind: str | None = None) -> DataFrame:
-    """The root (with the preamble) and a section for each point. Offsets count the guidance-normalised text."""
-    from .sections import ROOT, metadata
-
-    order = Window.partitionBy("doc_id").orderBy("number_of")
-    placed = pointed.withColumn("length", F.length("e.text"))
-    # blocks follow one another, so each starts at the first place of its text from the lengths so far on
-    so_far = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = F.call_function("locate", F.col("e.text"), F.col("body"), (F.col("so_far") + 1).cast("int"))
-    found = placed.withColumn("so_far", so_far).withColumn("start", at - 1)
-    root_id = text.section_id(F.col("source_name"), F.array(F.lit(ROOT)), F.lit(1))
-    label = F.concat(F.lit("Point "), F.col("e.number"))
-    path = F.array(F.lit(ROOT), label)
-    only = found.where("e.method = 'guidance_point'").withColumn("case", rx.once(case_metadata(F.col("e.text"), profile, doc_kind)))
-    same = Window.partitionBy("doc_id", "e.number").orderBy("number_of")
-    rank = Window.partitionBy("doc_id").orderBy("number_of")
-    case = {n: F.col(f"case.{n}") for n in CASE}
-    point = only.select(
-        "doc_id", "source_name", text.section_id(F.col("source_name"), path, F.row_number().over(same)).alias("section_id"), F.lit("clause").alias("kind"), label.alias("title"),
-        F.row_number().over(rank).alias("order"), root_id.alias("parent_section_id"), path.alias("path"), F.lit("review_point").alias("section_type"),
-        metadata(point_number=F.col("e.number"), legal_unit_type=F.lit("guidance_point"), legal_unit_number=F.col("e.number"), **case).alias("metadata"),
-        F.col("start").cast("int").alias("start_offset"), (F.col("start") + F.col("length")).cast("int").alias("end_offset"), F.col("e.text").alias("text"),
-    )
-    first = found.where("number_of = 0")
-    pre = F.col("e.method") == "guidance_preamble"
-    root = first.select(
-        "doc_id", "source_name", root_id.alias("section_id"), F.lit("document_root").alias("kind"), F.lit(ROOT).alias("title"), F.lit(0).alias("order"), F.lit(None).cast("string").alias("parent_section_id"),
-        F.array(F.lit(ROOT)).alias("path"), F.lit("document_root").alias("section_type"), metadata().alias("metadata"), F.lit(0).alias("start_offset"),
-        F.when(pre, F.col("start") + F.col("length")).otherwise(F.length("body")).cast("int").alias("end_offset"), F.when(pre, F.col("e.text")).otherwise("").alias("text"),
-    )
-    return root.unionByName(point)

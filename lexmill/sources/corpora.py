@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import spread
+
 
 def _line(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -22,7 +24,8 @@ def _documents(rows: DataFrame, head: Column, line: Column, separator: str = "\n
 
 
 def _numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("doc_id", F.col(key).cast("long"))
+    own = spread(rows.withColumn("doc_id", F.col(key).cast("long")), "doc_id")
+    return own.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
 
 
 def order_lines(lineitem: DataFrame) -> DataFrame:
