@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import rx, text
 from ..functions.headings import detect_heading
 from ..plans.profiles import Profile, resolve
+from .chunks import spread
 
 LEADING, TRAILING, REPEATED, HEADER_LINES = 8, 4, 3, 4
 # Signs of lines that aren't content, and words with which headings start.
@@ -35,19 +36,19 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return own.select("doc_id", "page_number", F.filter(split, lambda s: s != "").alias("lines"))
 
 
-@F.pandas_udf(T.StringType())
-def header_fingerprint(lines: pd.Series) -> pd.Series:
+def fingerprint(line: str | None) -> str:
     """What stays of a page's header line when marks, case and a stray letter before Arabic are ignored."""
+    own = "".join(c for c in unicodedata.normalize("NFKC", (line or "").strip()) if not unicodedata.combining(c))
+    own = re.sub(r"[ \t]+", " ", own).strip()
+    rest = own[2:].strip()
+    if re.match(r"[A-Za-z]\s", own) and any("؀" <= c <= "ۿ" for c in rest):
+        own = rest
+    return "" if len(own) < 4 or re.fullmatch(r"\d{1,4}", own) else own.lower()
 
-    def one(line: str | None) -> str:
-        own = "".join(c for c in unicodedata.normalize("NFKC", (line or "").strip()) if not unicodedata.combining(c))
-        own = re.sub(r"[ \t]+", " ", own).strip()
-        rest = own[2:].strip()
-        if re.match(r"[A-Za-z]\s", own) and any("؀" <= c <= "ۿ" for c in rest):
-            own = rest
-        return "" if len(own) < 4 or re.fullmatch(r"\d{1,4}", own) else own.lower()
 
-    return lines.map(one)
+@F.pandas_udf(T.StringType())
+def header_fingerprint(lines: pd.Series) -> pd.Series:
+    return lines.map(fingerprint)
 
 
 def is_noise_candidate(line: Column) -> Column:
@@ -84,13 +85,13 @@ def is_profile_noise(line: Column, profile: Profile) -> Column:
 
 def is_structural(line: Column, profile: Profile) -> Column:
     """A heading, or a short line in capitals."""
-    letters, capitals = (F.regexp_count(line, F.lit(p)) for p in (r"\p{IsAlphabetic}", r"\p{IsUppercase}"))
+    letters, capitals = (F.length(F.regexp_replace(line, p, "")) for p in (r"\P{IsAlphabetic}+", r"\P{IsUppercase}+"))
     return detect_heading(line, profile).isNotNull() | ((F.length(line) <= 120) & (letters > 0) & (capitals >= letters * 0.85))
 
 
 def is_running_header(line: Column) -> Column:
     low = F.lower(line)
-    return (low == "contents") | _any_of([low.contains(x) for x in ARABIC_HEADERS]) | low.rlike(EMAIL) | (low.contains("po box") & low.contains("authority"))
+    return (low == "contents") | _any_of([low.contains(x) for x in ARABIC_HEADERS]) | (low.contains("@") & low.rlike(EMAIL)) | (low.contains("po box") & low.contains("authority"))
 
 
 def line_kind(line: Column, profile: Profile | str) -> Column:
@@ -193,40 +194,58 @@ def trim_rule_header(lines: Column) -> Column:
     return F.when(F.size(lines) < 2, lines).otherwise(rx.let(cut, rule))
 
 
-def page_text(lines: Column, profile: Profile | str) -> Column:
-    """The text of a page from its lines (struct(text, header)), noise already out."""
+def classified(lines: Column, profile: Profile | str) -> Column:
+    """array of struct(text, kind) from a page's lines (struct(text, header)), running headers already off."""
     own = resolve(profile)
     trimmed = rx.let(lines, trim_header)
-    if own.switch("trim_running_headers"):
-        trimmed = rx.let(trimmed, trim_rule_header)
+    return _kinds(rx.let(trimmed, trim_rule_header) if own.switch("trim_running_headers") else trimmed, own)
+
 
-    def finish(kinds: Column) -> Column:
-        merged = merge_markers(F.transform(F.filter(kinds, lambda x: ~x["kind"].isin(DROPPED)), lambda x: x["text"]))
-        if own.switch("merge_wrapped"):
-            merged = rx.let(merged, lambda a: merge_wrapped(a, own))
-        return assemble(F.filter(_kinds(merged, own), lambda x: ~x["kind"].isin(DROPPED)))
+def refined(kinds: Column, profile: Profile | str) -> Column:
+    """Lines that stay, with markers and wrapped headings merged, classified again; null for a page of contents."""
+    own = resolve(profile)
+    merged = merge_markers(F.transform(F.filter(kinds, lambda x: ~x["kind"].isin(DROPPED)), lambda x: x["text"]))
+    if own.switch("merge_wrapped"):
+        merged = rx.let(merged, lambda a: merge_wrapped(a, own))
+    return F.when(F.size(F.filter(kinds, lambda x: x["kind"] == "toc_leader")) < 2, _kinds(merged, own))
+
+
+def page_text(kinds: Column) -> Column:
+    """The text of a page from its refined lines."""
+    return text.normalize_extracted(assemble(F.filter(F.coalesce(kinds, F.array().cast("array<struct<text:string,kind:string>>")), lambda x: ~x["kind"].isin(DROPPED))))
 
-    contents = lambda kinds: F.size(F.filter(kinds, lambda x: x["kind"] == "toc_leader")) >= 2
-    return text.normalize_extracted(rx.let(_kinds(trimmed, own), lambda k: F.when(contents(k), "").otherwise(finish(k))))
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def header_fingerprints(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda own: [fingerprint(x) for x in own])
 
 
 def cleaned_lines(pages: DataFrame, profile: Profile | str) -> DataFrame:
-    """doc_id, page_number, lines: array of struct(text, header) without repeated and profile noise."""
+    """doc_id, page_number, lines: array of struct(text, header) without repeated and profile noise.
+
+    What repeats in a document is one small row, so whole lines are never dealt out by themselves. Pages are then
+    dealt by their numbers: a document with very many doesn't stay in one task.
+    """
     own, base = resolve(profile), page_lines(pages)
-    # fingerprints are told in Python, so a line's own goes along with it
-    flat = base.select("doc_id", "page_number", F.posexplode("lines").alias("line_no", "line"))
-    noise = repeated_noise(base).withColumn("noise", F.lit(True))
-    prints = repeated_fingerprints(base).withColumn("known", F.lit(True))
-    flat = flat.join(noise, ["doc_id", "line"], "left").where("noise is null").where(~is_profile_noise(F.col("line"), own))
-    flat = flat.withColumn("fingerprint", header_fingerprint("line")).join(prints, ["doc_id", "fingerprint"], "left")
-    item = F.struct("line_no", F.col("line").alias("text"), F.coalesce("known", F.lit(False)).alias("header"))
-    return flat.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["text"].alias("text"), x["header"].alias("header"))).alias("lines"))
+    noise = repeated_noise(base).groupBy("doc_id").agg(F.collect_set("line").alias("noise"))
+    prints = repeated_fingerprints(base).groupBy("doc_id").agg(F.collect_set("fingerprint").alias("prints"))
+    known = noise.join(prints, "doc_id", "full_outer")
+    joined = spread(base.join(known, "doc_id", "left"), "doc_id", "page_number")
+    repeated = lambda s: F.coalesce(F.array_contains("noise", s), F.lit(False))
+    left = joined.select("doc_id", "page_number", "prints", rx.once(F.filter("lines", lambda s: ~repeated(s) & ~is_profile_noise(s, own))).alias("lines"))
+    # fingerprints are told in Python: of the lines in which a header can stand, where the document has any headers
+    asked = F.when(F.col("prints").isNotNull(), F.slice("lines", 1, HEADER_LINES + 1)).otherwise(F.array().cast("array<string>"))
+    told = left.where(F.size("lines") > 0).withColumn("own", header_fingerprints(asked))
+    header = lambda i: F.coalesce(F.array_contains("prints", F.get(F.col("own"), i)), F.lit(False))
+    return told.select("doc_id", "page_number", rx.once(F.transform("lines", lambda s, i: F.struct(s.alias("text"), header(i).alias("header")))).alias("lines"))
 
 
 def clean_pages(pages: DataFrame, profile: Profile | str = "generic") -> DataFrame:
     """doc_id, page_number, text of the pages that have any."""
     own = resolve(profile)
-    found = cleaned_lines(pages, own).select("doc_id", "page_number", rx.once(page_text(F.col("lines"), own)).alias("text")).where("text <> ''")
+    kinds = cleaned_lines(pages, own).select("doc_id", "page_number", rx.once(classified(F.col("lines"), own)).alias("kinds"))
+    lines = kinds.select("doc_id", "page_number", rx.once(refined(F.col("kinds"), own)).alias("lines"))
+    found = lines.select("doc_id", "page_number", rx.once(page_text(F.col("lines"))).alias("text")).where("text <> ''")
     return trim_rules_body(found) if own.switch("trim_rules_body") else found
 
 

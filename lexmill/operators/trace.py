@@ -13,58 +13,76 @@ from . import pages as paged
 from . import sections as tree
 
 
-def _events(df: DataFrame, stage: str, type_: str, position: Column, /, **data: Column) -> DataFrame:
+def _event(stage: str, type_: str, position: Column, /, **data: Column) -> Column:
     pairs = [x for name, value in data.items() for x in (F.lit(name), value.cast("string"))]
-    return df.select("doc_id", F.lit(stage).alias("stage"), F.lit(type_).alias("type"), position.cast("long").alias("position"), F.create_map(*pairs).alias("data"))
+    return F.struct(F.lit(stage).alias("stage"), F.lit(type_).alias("type"), position.cast("long").alias("position"), F.create_map(*pairs).alias("data"))
+
+
+def _told(df: DataFrame, *found: Column) -> DataFrame:
+    """Each row's events that aren't null, as rows; one pass over df whatever their number."""
+    return df.select("doc_id", F.explode(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e")).select("doc_id", "e.*")
 
 
 def events(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str | None = None) -> DataFrame:
     """Events of documents (doc_id, text). position: of the line, point or section in its document."""
     own, policy = resolve(profile), chunk_policy(profile, doc_kind)
     base = cut.normalized(docs)
+    whole = _told(
+        base,
+        _event("chunk", "chunk_policy_selected", F.lit(0), profile=F.lit(own.code), doc_kind=F.lit(doc_kind), policy=F.lit(policy)),
+        _event("normalize", "document_normalized", F.lit(0), source_name=F.col("source_name"), char_length=F.length("text")),
+    )
     lines = tree.lines(base, own, policy)
-    found = [
-        _events(base, "chunk", "chunk_policy_selected", F.lit(0), profile=F.lit(own.code), doc_kind=F.lit(doc_kind), policy=F.lit(policy)),
-        _events(base, "normalize", "document_normalized", F.lit(0), source_name=F.col("source_name"), char_length=F.length("text")),
-    ]
-    if policy == "guidance":
-        points = guidance.points(base)
-        case = guidance.case_metadata(F.col("e.text"), own, doc_kind)["source_case_reference"]
-        found.append(_events(points.where("e.method = 'guidance_preamble'"), "assemble", "guidance_preamble_detected", F.col("number_of"), char_length=F.length("e.text")))
-        found.append(_events(points.where("e.method = 'guidance_point'"), "assemble", "guidance_point_detected", F.col("number_of"), point_number=F.col("e.number"), has_case_reference=case.isNotNull()))
-        lines = lines.join(points.select("doc_id").distinct(), "doc_id", "left_anti")
     kind = tree.line_kind(F.col("heading"), F.col("text"))
-    found.append(_events(lines, "detect", "section_line_classified", F.col("line_no"), rule_id=F.concat(F.lit("section.line."), kind), kind=kind, offset=F.col("start"), text=F.col("text")))
-    found.append(_events(lines.where("heading is not null"), "detect", "heading_detected", F.col("line_no"), kind=F.col("heading.kind"), label=F.col("heading.label"), offset=F.col("start")))
-    if policy == "statute":
-        name = {"us_rule": "us_rule_subdivision_split", "eu_article": "eu_article_subdivision_split"}.get(own.switch("article_splitter"))
-        cuts = tree.sections(base, own, policy, doc_kind).where("text <> ''").withColumn("splits", cut.splits(own, policy))
-        first = cuts.withColumn("first", F.get("splits", F.lit(0)))
-        typed = (
-            F.when(F.col("first.unit_type") == "definition_entry", "definition_schedule_split").when(F.col("first.unit_type") == "rule_block", "rule_block_split")
-            .when((F.col("section_type") == "article") & (F.length(rx.strip(F.col("text"))) > own.limits.max_chars) & (F.size(cut.subdivided(F.col("text"), cut.US_LABEL if name and name.startswith("us") else cut.EU_LABEL, own.limits)) > 0), F.lit(name).cast("string"))
-        )
-        named = first.withColumn("name", typed).where("name is not null")
-        found.append(named.select("doc_id", F.lit("chunk").alias("stage"), F.col("name").alias("type"), F.col("order").cast("long").alias("position"), F.create_map(F.lit("section"), F.col("title"), F.lit("count"), F.size("splits").cast("string")).alias("data")))
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    of_line = _event("detect", "section_line_classified", F.col("line_no"), rule_id=F.concat(F.lit("section.line."), kind), kind=kind, offset=F.col("start"), text=F.col("text"))
+    of_heading = _event("detect", "heading_detected", F.col("line_no"), kind=F.col("heading.kind"), label=F.col("heading.label"), offset=F.col("start"))
+    found = [F.when(~F.col("block"), of_line), F.when(~F.col("block") & F.col("heading").isNotNull(), of_heading)]
+    if policy == "guidance":
+        case = guidance.case_metadata(F.col("text"), own, doc_kind)["source_case_reference"]
+        point = _event("assemble", "guidance_point_detected", F.col("line_no"), point_number=F.col("point"), has_case_reference=case.isNotNull())
+        preamble = _event("assemble", "guidance_preamble_detected", F.col("line_no"), char_length=F.length("text"))
+        found += [F.when(F.col("point").isNotNull(), point), F.when(F.col("block") & F.col("point").isNull(), preamble)]
+    out = whole.unionByName(_told(lines, *found))
+    if policy != "statute":
+        return out
+    name = {"us_rule": "us_rule_subdivision_split", "eu_article": "eu_article_subdivision_split"}.get(own.switch("article_splitter"))
+    cuts = tree.tree(lines).where("text <> ''").withColumn("splits", rx.once(cut.splits(own, policy))).withColumn("first", F.get("splits", F.lit(0)))
+    typed = F.when(F.col("first.unit_type") == "definition_entry", "definition_schedule_split").when(F.col("first.unit_type") == "rule_block", "rule_block_split")
+    if name:
+        label = cut.US_LABEL if name.startswith("us") else cut.EU_LABEL
+        long = (F.col("section_type") == "article") & (F.length(rx.strip(F.col("text"))) > own.limits.max_chars)
+        typed = typed.when(long & (F.size(cut.subdivided(F.col("text"), label, own.limits)) > 0), name)
+    named = cuts.withColumn("name", typed).where("name is not null")
+    return out.unionByName(named.select("doc_id", F.lit("chunk").alias("stage"), F.col("name").alias("type"), F.col("order").cast("long").alias("position"), F.create_map(F.lit("section"), F.col("title"), F.lit("count"), F.size("splits").cast("string")).alias("data")))
+
+
+def _of_line(line: Column, profile: Profile) -> dict[str, Column]:
+    kind = line["kind"]
+    rule = F.concat(F.lit("pdf.line."), F.when(kind == "profile_noise", f"profile_noise.{profile.code}").otherwise(kind))
+    target = F.when(kind == "toc_leader", F.regexp_extract(line["text"], r"(\d{1,4})\s*$", 1))
+    return {"rule_id": rule, "kind": kind, "text": line["text"], "drop": kind.isin(paged.DROPPED), "target_page": target}
 
 
 def page_events(pages: DataFrame, profile: Profile | str = "generic") -> DataFrame:
-    """Events of pages' lines: what each was taken for, and the state of the document it was met in."""
+    """Events of pages' lines. What each was taken for; then, for lines as merged, whether they stay and in which state.
+
+    Every page starts as front matter. A heading or a list item makes it body, a line of contents makes it contents;
+    text after contents is body. Pages of contents (two lines or more) have no decisions. position: the page's number
+    times 2^32, and the line's.
+    """
     own = resolve(profile)
-    lines = paged.cleaned_lines(pages, own).select("doc_id", "page_number", F.posexplode(paged.trim_header(F.col("lines"))).alias("line_no", "text"))
-    kind = paged.line_kind(F.col("text"), own)
-    told = lines.withColumn("kind", kind)
-    position = F.col("page_number") * 100000 + F.col("line_no")
-    rule = F.concat(F.lit("pdf.line."), F.when(F.col("kind") == "profile_noise", f"profile_noise.{own.code}").otherwise(F.col("kind")))
-    drop = F.col("kind").isin(paged.DROPPED)
-    target = F.when(F.col("kind") == "toc_leader", F.regexp_extract("text", r"(\d{1,4})\s*$", 1))
-    classified = _events(told, "extract", "pdf_line_classified", position, rule_id=rule, kind=F.col("kind"), text=F.col("text"), drop=drop, target_page=target)
-    so_far = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
-    body = F.max(F.col("kind").isin("structural_heading", "enumerated_content").cast("int")).over(so_far)
-    decided = told.where(~drop).withColumn("body", body)
-    state = F.when(F.col("body") == 1, "body").otherwise("front_matter")
-    return classified.unionByName(_events(decided, "extract", "pdf_line_decided", position, keep=F.lit(True), state_to=state, kind=F.col("kind"), text=F.col("text")))
+    kinds = paged.cleaned_lines(pages, own).select("doc_id", "page_number", rx.once(paged.classified(F.col("lines"), own)).alias("kinds"))
+    both = kinds.withColumn("merged", rx.once(paged.refined(F.col("kinds"), own)))
+    marked = lambda name, merged: F.transform(name, lambda x, i: F.struct(i.alias("line_no"), F.lit(merged).alias("merged"), x["text"].alias("text"), x["kind"].alias("kind")))
+    lines = both.select("doc_id", "page_number", F.explode(F.concat(marked("kinds", False), F.coalesce(marked("merged", True), F.array()))).alias("line"))
+    kind, drop = F.col("line.kind"), F.col("line.kind").isin(paged.DROPPED)
+    so_far = Window.partitionBy("doc_id", "page_number", "line.merged").orderBy("line.line_no")
+    left = F.max((kind.isin("structural_heading", "enumerated_content", "toc_leader")).cast("int")).over(so_far) == 1
+    # lines that go, but for those of contents, leave the state as it was
+    state = F.when(kind == "toc_leader", "table_of_contents").when(~drop, F.when(left, "body").otherwise("front_matter"))
+    told = lines.withColumn("state", state).withColumn("state", F.coalesce(F.last("state", True).over(so_far), F.lit("front_matter")))
+    told = told.withColumn("before", F.coalesce(F.lag("state").over(so_far), F.lit("front_matter")))
+    position = F.col("page_number").cast("long") * (1 << 32) + F.col("line.line_no")
+    data = _of_line(F.col("line"), own)
+    decided = _event("extract", "pdf_line_decided", position, state_from=F.col("before"), state_to=F.col("state"), keep=~drop, **data)
+    return _told(told, F.when(~F.col("line.merged"), _event("extract", "pdf_line_classified", position, **data)), F.when(F.col("line.merged"), decided))
