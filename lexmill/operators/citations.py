@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from ..functions import rx, text
 from ..plans import vocabulary as v
 from ..plans.profiles import Profile, numbering_words, resolve
 from . import numbering
+from .chunks import spread
 
 HIT = "array<struct<start:int,past:int,size:int,seq:int,family:string>>"
 
@@ -57,20 +57,22 @@ def patterns(profile: Profile | str, doc_family: str | None = None) -> list[Patt
     return found
 
 
-def _hit(size: int, seq: int, family: str) -> Callable[[Column], Column]:
-    return lambda m: F.struct(m["start"].alias("start"), m["past"].alias("past"), F.lit(size).alias("size"), F.lit(seq).alias("seq"), F.lit(family).alias("family"))
+def family_hits(body: Column, profile: Profile | str) -> Column:
+    """Where a lower-cased text names a family of documents: array of struct(start, past, size, seq, family).
 
+    Names go through one expression as values, so the plan doesn't grow with their number.
+    """
+    names = [(family, name) for family, _, own in resolve(profile).families for name in own]
+    if not names:
+        return F.array().cast(HIT)
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(rx.escape(name)).alias("pattern"), F.lit(len(name)).alias("size"), F.lit(seq).alias("seq"), F.lit(family).alias("family")) for seq, (family, name) in enumerate(names)))
 
-def family_hits(body: Column, profile: Profile | str) -> Column:
-    """Where a lower-cased text names a family of documents: array of struct(start, past, size, seq, family)."""
-    none = F.array().cast(HIT)
-    found, seq = [], 0
-    for family, _, names in resolve(profile).families:
-        for name in names:
-            spans = rx.spans(body, rx.escape(name))
-            found.append(F.when(body.contains(name), F.transform(spans, _hit(len(name), seq, family))).otherwise(none))
-            seq += 1
-    return F.concat(*found) if found else none
+    def places(n: Column) -> Column:
+        gaps = F.split(body, n["pattern"], -1)
+        at = rx.before(F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + n["size"]), F.transform(gaps, F.length))
+        return F.transform(at, lambda start: F.struct(start.alias("start"), (start + n["size"]).alias("past"), n["size"].alias("size"), n["seq"].alias("seq"), n["family"].alias("family")))
+
+    return F.flatten(F.transform(F.filter(known, lambda n: body.contains(n["name"])), places))
 
 
 def doc_family(body: Column, profile: Profile | str) -> Column:
@@ -94,24 +96,30 @@ def references(docs: DataFrame, profile: Profile | str = "generic", doc_family:
     """
     own = resolve(profile)
     tried = patterns(own, doc_family)
+    docs = spread(docs.select("doc_id", "text"), "doc_id")
     base = docs.select("doc_id", rx.once(numbering.normalize_reference("text", own)).alias("body")).where("body <> ''")
-    any_of = "|".join(f"(?:{p.pattern})" for p in tried)
-    base = base.where(F.col("body").rlike(any_of))
 
     def matches(p: Pattern, number: int) -> Column:
-        def one(m: Column) -> Column:
-            group = lambda g: F.regexp_extract(m["text"], p.pattern, g) if g else F.lit(None).cast("string")
-            return F.struct(F.lit(number).alias("pattern"), m["start"].alias("start"), m["past"].alias("past"), m["text"].alias("raw"), F.lit(p.scheme).alias("scheme"), group(p.article).alias("article"), group(p.paragraph).alias("paragraph"), group(p.part).alias("part"), F.lit(p.family or doc_family).cast("string").alias("family"))
-
-        return F.transform(rx.spans(F.col("body"), p.pattern), one)
-
-    flat = base.select("doc_id", family_hits(F.lower("body"), own).alias("hits"), F.explode(F.concat(*(matches(p, i) for i, p in enumerate(tried)))).alias("m"))
+        def one(raw: Column, gap: Column) -> Column:
+            group = lambda g: F.regexp_extract(raw, p.pattern, g) if g else F.lit(None).cast("string")
+            return F.struct(F.lit(number).alias("pattern"), F.length(gap).alias("gap"), raw.alias("raw"), F.lit(p.scheme).alias("scheme"), group(p.article).alias("article"), group(p.paragraph).alias("paragraph"), group(p.part).alias("part"), F.lit(p.family or doc_family).cast("string").alias("family"))
+
+        found = F.regexp_extract_all("body", F.lit(p.pattern), F.lit(0))
+        return F.when(F.col("body").rlike(p.pattern), F.zip_with(found, F.slice(rx.between(F.col("body"), p.pattern), F.lit(1), F.size(found)), one))
+
+    some = F.flatten(F.filter(F.array(*(matches(p, i) for i, p in enumerate(tried))), lambda a: a.isNotNull()))
+    flat = base.select("doc_id", rx.once(family_hits(F.lower("body"), own)).alias("hits"), F.col("body")).select("doc_id", "hits", F.posexplode(some).alias("i", "m"))
+    # a match starts after all gaps and matches of its pattern that stand before it
+    past = F.sum(F.col("m.gap") + F.length("m.raw")).over(Window.partitionBy("doc_id", "m.pattern").orderBy("i"))
+    flat = flat.withColumn("past", past.cast("int")).withColumn("start", F.col("past") - F.length("m.raw"))
     found = flat.select(
-        "doc_id", "m.pattern", "m.start", "m.raw", "m.scheme", text.normalize_article_number(F.col("m.article")).alias("article_number"), text.extract_number(F.col("m.paragraph")).alias("paragraph_number"),
-        text.extract_number(F.col("m.part")).alias("part_number"), F.coalesce("m.family", nearest_family(F.col("hits"), F.col("m.start"), F.col("m.past"))).alias("doc_family"),
+        "doc_id", "m.pattern", "start", "m.raw", "m.scheme", rx.once(text.normalize_article_number(F.col("m.article"))).alias("article_number"), F.col("m.paragraph").alias("paragraph"), F.col("m.part").alias("part"),
+        F.coalesce("m.family", nearest_family(F.col("hits"), F.col("start"), F.col("past"))).alias("doc_family"),
     ).where("article_number is not null")
     if own.requires_family:
         found = found.where("doc_family is not null")
+    number = lambda c: text.extract_number(F.col(c)) if own.code == "ru" else F.lit(None).cast("string")
+    found = found.select("*", F.explode(F.array(F.struct(number("paragraph").alias("paragraph_number"), number("part").alias("part_number")))).alias("x")).select("*", "x.*")
     key = ["scheme", "article_number", "paragraph_number", "part_number", "doc_family"]
     first = Window.partitionBy("doc_id", *key).orderBy("pattern", "start")
     order = Window.partitionBy("doc_id").orderBy("pattern", "start")
