@@ -66,8 +66,10 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], share: float, rounds: in
 
 
 def classes(docs: DataFrame, topics: Column) -> DataFrame:
-    """docs' class columns c_source, c_lang, c_topic and its tokens, as c_tokens, next to all its columns."""
-    return docs.withColumns({"c_source": F.coalesce(F.col("source"), F.lit("none")), "c_lang": F.coalesce(F.col("lang"), F.lit("none")), "c_topic": topics, "c_tokens": n_tokens()})
+    """row (a struct of all of docs' columns), c_source, c_lang, c_topic, c_tokens and u, a number in [0, 1) from the id."""
+    own = {"c_source": F.coalesce(F.col("source"), F.lit("none")), "c_lang": F.coalesce(F.col("lang"), F.lit("none")), "c_topic": topics, "c_tokens": n_tokens()}
+    u = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), 11).cast("double") / float(1 << 53)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()), u.alias("u"))
 
 
 def probabilities(docs: DataFrame, share: float = 0.75, alpha: float = 0.7, targets: dict[str, dict[str, float]] | None = None, topics: Column | None = None) -> tuple[DataFrame, dict[tuple[str, str, str], tuple[float, float]], dict[str, set[str]]]:
@@ -99,14 +101,26 @@ def probabilities(docs: DataFrame, share: float = 0.75, alpha: float = 0.7, targ
     return classed, found, own
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' columns with p_keep, u and kept: kept if u, a number in [0, 1) from doc_id, is below p_keep."""
+def _drawn(docs: DataFrame, **options) -> DataFrame:
+    """row (a struct), u and p: the chance that its cell has. No name of docs' own can meet one of ours."""
     classed, cells, own = probabilities(docs, **options)
-    columns = [c for c in docs.columns if c not in ("p_keep", "u", "kept")]
-    parts = [F.when(F.col(f"c_{d}").isin(*own[d]) if own[d] else F.lit(False), F.col(f"c_{d}")).otherwise("other") for d in DIMENSIONS]
     if not cells:
-        return classed.select(*columns, F.lit(1.0).alias("p_keep"), F.lit(0.0).alias("u"), F.lit(True).alias("kept"))
+        return classed.select("row", "u", F.lit(1.0).alias("p"))
+    parts = [F.when(F.col(f"c_{d}").isin(*own[d]) if own[d] else F.lit(False), F.col(f"c_{d}")).otherwise("other") for d in DIMENSIONS]
     table = docs.sparkSession.createDataFrame([("\x1f".join(k), v[0]) for k, v in cells.items()], "c_cell string, c_p double")
     joined = classed.withColumn("c_cell", F.concat_ws("\x1f", *parts)).join(F.broadcast(table), "c_cell", "left")  # bounded, see above
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), 11).cast("double") / float(1 << 53)).alias("u")
-    return joined.select(*columns, F.coalesce("c_p", F.lit(1.0)).alias("p_keep"), u).withColumn("kept", F.col("u") < F.col("p_keep"))
+    return joined.select("row", "u", F.coalesce("c_p", F.lit(1.0)).alias("p"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs' columns with p_keep, u and kept: kept if u, a number in [0, 1) from doc_id, is below p_keep.
+
+    Columns of docs with those three names are replaced; sample() keeps all.
+    """
+    names = [f"row.`{c}`" for c in docs.columns if c not in ("p_keep", "u", "kept")]
+    return _drawn(docs, **options).select(*names, F.col("p").alias("p_keep"), "u", (F.col("u") < F.col("p")).alias("kept"))
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with all their columns as they were."""
+    return _drawn(docs, **options).where(F.col("u") < F.col("p")).select("row.*")
