@@ -8,12 +8,17 @@ sums of all rows of the block stand in slices, one bit of each row's score in ea
 slice downward the rows that are surely among the best k are set aside; those that are equal to the last bit
 stand at the boundary and are resolved by the smaller id. Scores of the chosen rows are computed exactly.
 
+Rows with a component beyond WIDE stand outside the slices, whose bits and sums they would not fit; they, and
+queries with such components, are scored by whole numbers of any length.
+
 Queries are a stated set of rows; they meet all rows in blocks. A block of BLOCK vectors and one of queries is
 one unit of work, whatever the values are, so a vector that a third of all rows share makes no task larger.
 
 Defined results: a vector that is null or holds null, NaN or infinite components takes no part, nor does a row
-with null id. Missing components of shorter vectors count as zero. Quantised components beyond 2 ** 24 are
-held at that value. Of rows with one id the smallest vector counts. An empty table gives an empty result.
+with null id. Missing components of shorter vectors count as zero. Rows are told apart by themselves, not by
+their ids: all rows of one id are candidates, and each such row that asks has ranks of its own, the others of
+that id among them; ties of id go to either. Quantised components beyond 64 bits are held at their ends, and so
+is a score (rows are ranked by the exact one). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,29 +31,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import save, spread
+from .store import drop, save, spread
+
+BLOCK, WIDE, TOGETHER = 1 << 16, 1 << 24, 16
+LOW = (1 << 62) - 1
+
 
-BLOCK, LIMIT, TOGETHER = 1 << 16, 1 << 24, 16
+def is_wide(values: np.ndarray) -> np.ndarray:
+    return ((values > WIDE) | (values < -WIDE)).any(axis=1) if values.shape[1] else np.zeros(len(values), bool)
 
 
 class Index:
-    """The slices of one block. ids ascending; values: rows by attributes, whole numbers."""
+    """The slices of one block. ids ascending; rows: the numbers of the rows; values: rows by attributes."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        self.ids, self.values = ids, values.astype(np.int64)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        self.ids, self.numbers, self.values = ids, rows, values.astype(np.int64)
         n, width = values.shape
-        self.low, self.high = (f(self.values, axis=0) if n else np.zeros(width, np.int64) for f in (np.min, np.max))
+        wide = is_wide(self.values)
+        self.wide = np.flatnonzero(wide)
+        narrow = self.values[~wide]
+        self.low, self.high = (f(narrow, axis=0) if len(narrow) else np.zeros(width, np.int64) for f in (np.min, np.max))
         self.words = -(-n // 64) or 1
         self.slices = [np.zeros(self.words, np.uint64)]
         self.at: dict[tuple[int, bool], list[int]] = {}
         for d in range(width):
+            own = np.where(wide, self.low[d], self.values[:, d])
             for negative in (False, True):
-                part = self.high[d] - self.values[:, d] if negative else self.values[:, d] - self.low[d]
+                part = self.high[d] - own if negative else own - self.low[d]
                 bits = int(self.high[d] - self.low[d]).bit_length()
                 self.at[d, negative] = list(range(len(self.slices), len(self.slices) + bits))
                 self.slices += [self.packed(part >> j & 1) for j in range(bits)]
         self.all = np.stack(self.slices)
-        self.rows = self.packed(np.ones(n, np.int64))
+        self.rows = self.packed(~wide)
 
     def packed(self, bits: np.ndarray) -> np.ndarray:
         out = np.zeros(self.words * 8, np.uint8)
@@ -68,18 +82,16 @@ class Index:
                                 lists.append([[] for _ in queries])
                             lists[j + e][i].append(s)
         out, carries = [], []
-        for w in range(64):
+        w = 0
+        while w < len(lists) or carries:
             ready, carries = carries, []
+            todo = ready
             if w < len(lists):
                 longest = max(map(len, lists[w]))
                 table = np.zeros((longest, len(queries)), np.int64)  # 0: the empty slice
                 for i, own in enumerate(lists[w]):
                     table[: len(own), i] = own
                 todo = [*ready, *table]
-            else:
-                todo = ready
-            if not todo and w >= len(lists):
-                break
             total = None
             place = 0
             get = lambda x: self.all[x] if x.ndim == 1 else x
@@ -97,13 +109,13 @@ class Index:
                     carries.append(total & a)
                     total, place = total ^ a, place + 1
             out.append(total if total is not None else np.zeros((len(queries), self.words), np.uint64))
+            w += 1
         return out
 
-    def best(self, query: np.ndarray, own: int, slices: list[np.ndarray], at: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but that with the id own, best first."""
+    def chosen(self, own: int, slices: list[np.ndarray], at: int, k: int) -> np.ndarray:
+        """Places of the k best rows in the slices, but for the row with the number own."""
         sure, open_, held = np.zeros(self.words, np.uint64), self.rows.copy(), 0
-        place = np.searchsorted(self.ids, own)
-        if place < len(self.ids) and self.ids[place] == own:
+        for place in np.flatnonzero(self.numbers == own):
             open_[place >> 6] &= ~np.uint64(1 << int(place & 63))
         for s in reversed(slices):
             high = open_ & s[at]
@@ -117,65 +129,88 @@ class Index:
                 if held == k:
                     open_[:] = 0
                     break
-        chosen = np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little"))
         ties = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little"))[: k - held]
-        rows = np.concatenate([chosen, ties])
-        scores = self.values[rows] @ query
-        order = np.lexsort((self.ids[rows], -scores))
-        return self.ids[rows][order], scores[order]
+        return np.concatenate([np.flatnonzero(np.unpackbits(sure.view(np.uint8), bitorder="little")), ties])
+
+    def best(self, query: np.ndarray, own: int, slices: list[np.ndarray] | None, at: int, k: int) -> tuple[np.ndarray, list[int] | np.ndarray]:
+        """Places and scores of the k best rows but that with the number own, best first. slices: none for a wide query."""
+        if slices is not None and not len(self.wide):
+            rows = self.chosen(own, slices, at, k)
+            scores = self.values[rows] @ query
+            order = np.lexsort((rows, -scores))
+            return rows[order], scores[order]
+        rows = np.arange(len(self.ids)) if slices is None else np.concatenate([self.chosen(own, slices, at, k), self.wide])
+        rows = rows[self.numbers[rows] != own]
+        scores = (self.values[rows].astype(object) * query.astype(object)).sum(axis=1) if len(rows) else np.zeros(0, object)
+        order = sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i]))[:k]
+        return rows[order], [int(scores[i]) for i in order]
 
 
 def quantised(vector: str, scale: int) -> Column:
     """floor(scale * x) of each component, or null for vectors that take no part."""
     x = F.col(vector)
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform(x, lambda v: F.least(F.lit(LIMIT), F.greatest(F.lit(-LIMIT), F.floor(v.cast("double") * scale))).cast("int"))
-    return F.when(sound, whole)
+    return F.when(sound, F.transform(x, lambda v: F.floor(v.cast("double") * scale)))
 
 
 def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """rows (id, q) in n blocks: block, ids and values as bytes, and the width."""
+    """rows (id, row, q) in n blocks: block; ids, row numbers and values as bytes; the width and the bytes of a value."""
 
     def block(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.assign(key=[tuple(v) for v in own.q]).sort_values(["id", "key"]).drop_duplicates("id")
+        own = own.sort_values(["id", "row"])
         width = max(map(len, own.q), default=0)
-        values = np.zeros((len(own), width), "<i4")
+        values = np.zeros((len(own), width), "<i8")
         for i, v in enumerate(own.q):
             values[i, : len(v)] = v
-        return pd.DataFrame({name: [int(own.block.iloc[0])], "ids": [own.id.to_numpy("<i8").tobytes()], "data": [values.tobytes()], "width": [width]})
+        size = 4 if not values.size or -(1 << 31) <= values.min() and values.max() < 1 << 31 else 8
+        return pd.DataFrame({name: [int(own.block.iloc[0])], "ids": [own.id.to_numpy("<i8").tobytes()], "rows": [own.row.to_numpy("<i8").tobytes()], "data": [values.astype(f"<i{size}").tobytes()], "width": [width], "size": [size]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(block, f"{name} int, ids binary, rows binary, data binary, width int, size int")
+
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(block, f"{name} int, ids binary, data binary, width int")
+def _unpacked(r: dict, prefix: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows = (np.frombuffer(r[prefix + x], "<i8") for x in ("ids", "rows"))
+    values = np.frombuffer(r[prefix + "data"], f"<i{r[prefix + 'size']}").reshape(len(ids), r[prefix + "width"]).astype(np.int64)
+    return ids, rows, np.pad(values, ((0, 0), (0, width - values.shape[1])))
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row where queries (a condition) holds."""
     spark = vectors.sparkSession
-    sound, _ = save(vectors.select(F.col(id_column).cast("long").alias("id"), quantised(vector, scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("asked")).where("id is not null and q is not null"), "vectors")
+    taken = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(vector, scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("asked")).where("id is not null and q is not null")
+    sound, path = save(taken.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so numbers stay
     n, asked = sound.agg(F.count("*"), F.count_if("asked")).head()
     n_query = max(1, -(-asked // 8192), min(-(-asked // 256), spread(spark)))
-    rows, _ = save(_blocks(sound.select("id", "q"), max(1, -(-n // BLOCK)), "block"), "vector-blocks")
-    asks = _blocks(sound.where("asked").select("id", "q"), n_query, "part").select("part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("width").alias("q_width"))
+    rows, _ = save(_blocks(sound.select("id", "row", "q"), max(1, -(-n // BLOCK)), "block"), "vector-blocks")
+    asks = _blocks(sound.where("asked").select("id", "row", "q"), n_query, "part")
+    asks, _ = save(asks.select("part", *(F.col(c).alias(f"q_{c}") for c in asks.columns if c != "part")), "query-blocks")
+    drop(spark, path)
     units = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).join(asks, "part").repartition(max(spread(spark), n_query), "block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 width = max(r["width"], r["q_width"])
-                own, ask = (np.frombuffer(r[d], "<i4").reshape(-1, r[w]) if r[w] else np.zeros((len(r[i]) // 8, 0), "<i4") for d, w, i in (("data", "width", "ids"), ("q_data", "q_width", "q_ids")))
-                own, ask = (np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.int64) for x in (own, ask))
-                index, ids = Index(np.frombuffer(r["ids"], "<i8"), own), np.frombuffer(r["q_ids"], "<i8")
-                found: list[list[np.ndarray]] = [[], [], []]
+                index = Index(*_unpacked(r, "", width))
+                ids, numbers, ask = _unpacked(r, "q_", width)
+                wide = is_wide(ask)
+                found: list[list] = [[] for _ in range(6)]
                 for i in range(0, len(ids), TOGETHER):
-                    part = ask[i : i + TOGETHER]
+                    part = np.where(wide[i : i + TOGETHER, None], 0, ask[i : i + TOGETHER])
                     slices = index.sums(part)
                     for j in range(len(part)):
-                        best, scores = index.best(part[j], ids[i + j], slices, j, k)
-                        found[0].append(np.full(len(best), ids[i + j]))
-                        found[1].append(best)
-                        found[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found], ["query_id", "vec_id", "score"])
-
-    per_block = units.select("ids", "data", "width", "q_ids", "q_data", "q_width").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                        best, scores = index.best(ask[i + j], numbers[i + j], None if wide[i + j] else slices, j, k)
+                        if isinstance(scores, np.ndarray):
+                            high, low = scores >> 62, scores & LOW
+                        else:
+                            high, low = np.array([max(-(1 << 63), min((1 << 63) - 1, s >> 62)) for s in scores], np.int64), np.array([s & LOW for s in scores], np.int64)
+                            scores = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores], np.int64)
+                        for column, own in zip(found, (np.full(len(best), ids[i + j]), np.full(len(best), numbers[i + j]), index.ids[best], scores, high, low), strict=True):
+                            column.append(own)
+                columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_row", "vec_id", "score", "high", "low"])
+
+    per_block = units.drop("block", "part").mapInArrow(run, "query_id long, query_row long, vec_id long, score long, high long, low long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), "vec_id")
     return per_block.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
