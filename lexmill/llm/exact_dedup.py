@@ -4,8 +4,8 @@
 2. Slots: one per key, with the smallest doc_id (the head of its chain) and the number of rows; partial
    aggregation makes a group that holds a third of all rows one slot before anything is shuffled.
 3. Directory: addresses of ``depth`` leading bits. Starting from one bucket, an overfull bucket is split by
-   one more bit until each holds at most ``capacity`` slots (or the depth is used up); the directory doubles
-   with each level. It has at most 2 ** MAX_DEPTH entries, so it may be broadcast.
+   one more bit until each holds at most ``capacity`` slots; the directory doubles with each level, without an
+   end. It is broadcast while it has at most BROADCAST_CELLS entries.
 4. Owners: slots are dealt by bucket, a contiguous range of keys, and written to the shared folder. Rows
    with a key of more than one row are joined with the head's text there and compared byte by byte.
 5. Chains: rows whose bytes differ from the head's (a collision of keys) go on to the next link of the
@@ -26,31 +26,49 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import save, spread
+from .store import drop, save, spread
 
 WHITE = r"[\x20\x09-\x0D]+"
-MAX_DEPTH = 14
+#: Addresses are of at most so many bits, and a bucket spans at most 2 ** LEVELS of them.
+LAST_DEPTH, LEVELS = 63, 20
+#: Entries of the directory that are sent to every task; a larger one is joined by a shuffle.
+BROADCAST_CELLS = 1 << 14
+PREFIX = "shiftright(cell, {depth} - bits)"
 #: Keys that are sent to every task (16 bytes each) when a table of texts is filtered by them; more are joined.
 BROADCAST_KEYS = 500_000
 
 
+def _leading(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - bits)
+
+
+def _leading_of(cell: str, depth: int) -> Column:
+    return F.expr(PREFIX.format(depth=depth))
+
+
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, " ")
 
 
 def directory(slots: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """Rows (cell, bucket) for each address of the returned number of leading bits that holds slots."""
-    depth = 0
-    total = slots.count()
-    while depth < MAX_DEPTH and total > capacity << depth:
+    """Rows (cell, bucket) for each address of the returned number of leading bits that holds slots.
+
+    The directory doubles until no bucket is overfull; keys differ, so 64 bits always part them.
+    """
+    depth, total = 3, slots.count()  # room for uneven buckets
+    while depth < LAST_DEPTH and total > capacity << depth - 3:
         depth += 1
-    depth = min(MAX_DEPTH, depth + 3)  # room for uneven buckets
-    cells = slots.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("cell")).agg(F.count("*").alias("n"))
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"))
-    prefix = F.expr(f"shiftright(cell, {depth} - bits)")
-    sums = levels.groupBy("bits", prefix.alias("prefix")).agg(F.sum("n").alias("held")).where(f"held <= {int(capacity)} or bits = {depth}")
-    first = levels.withColumn("prefix", prefix).join(sums, ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
-    return first.select("cell", F.expr(f"shiftleft(shiftright(cell, {depth} - bits), {depth} - bits)").alias("bucket")), depth
+    while True:
+        cells, path = save(slots.groupBy(_leading(F.col("key"), depth).alias("cell")).agg(F.count("*").alias("n")), "dedup-cells")
+        if depth == LAST_DEPTH or cells.where(F.col("n") > capacity).isEmpty():
+            break
+        drop(slots.sparkSession, path)
+        depth = min(LAST_DEPTH, depth + 4)
+    # the shortest prefix whose bucket isn't overfull; a level at a time, so a cell leaves as soon as it has one
+    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(max(0, depth - LEVELS)), F.lit(depth))).alias("bits")).withColumn("prefix", _leading_of("cell", depth))
+    sums = levels.groupBy("bits", "prefix").agg(F.sum("n").alias("held")).where((F.col("held") <= int(capacity)) | (F.col("bits") == depth))
+    first = levels.join(sums, ["bits", "prefix"]).groupBy("cell").agg(F.min("bits").alias("bits"))
+    return first.select("cell", F.expr(f"shiftleft({PREFIX.format(depth=depth)}, {depth} - bits)").alias("bucket")), depth
 
 
 def exact_duplicates(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64, capacity: int = 100_000) -> DataFrame:
@@ -62,10 +80,13 @@ def exact_duplicates(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash
     rows = docs.select("doc_id", normalised().alias("norm"))
     entries, _ = save(rows.select("doc_id", key(F.col("norm")).cast("long").alias("key"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "dedup-entries")
     slots = entries.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    slots, _ = save(slots, "dedup-slots")
+    slots, slots_path = save(slots, "dedup-slots")
     cells, depth = directory(slots, capacity)
-    index = slots.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(F.broadcast(cells), "cell").drop("cell")
+    cells, cells_path = save(cells, "dedup-directory")
+    small = cells.count() <= BROADCAST_CELLS
+    index = slots.withColumn("cell", _leading(F.col("key"), depth)).join(F.broadcast(cells) if small else cells, "cell").drop("cell")
     index, _ = save(index.repartition(spread(spark), "bucket").sortWithinPartitions("bucket", "key"), "dedup-index")
+    drop(spark, cells_path, slots_path)
 
     shared = index.where("n > 1").select("key", "head")
     small = shared.count() <= BROADCAST_KEYS
