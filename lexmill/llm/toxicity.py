@@ -84,7 +84,7 @@ def segments(at: list[int], value: list[float], drift: float) -> list[tuple[int,
 
 @dataclass
 class Model:
-    """weight: feature to log-odds. Its size is bounded by max_features, so it is sent to every task."""
+    """weight: feature to log-odds. Its size is bounded by the rows that train, so it is sent to every task."""
 
     weight: dict[str, float] = field(default_factory=dict)
     drift: float = 1.0
@@ -169,16 +169,17 @@ def _logistic(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(b[0]), float(max(b[1], 1e-3))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int = 40_000, max_features: int = 100_000, least_docs: int = 3, prior: float = 500.0, z_min: float = 2.4, drift: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int = 40_000, least_docs: int = 3, prior: float = 500.0, z_min: float = 2.4, drift: float = 1.0) -> Model:
     """Fits a Model to labelled rows of docs where train_on (a condition on doc_id) holds.
 
     max_rows bounds the labelled rows that are used: those with the smallest hash of doc_id.
-    max_features bounds the lexicon: features in the most toxic documents come first.
+    A feature must stand in least_docs toxic documents, since one document's repetitions prove nothing; there is no
+    bound on their number but that of the rows.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).where(train_on)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows rows of 9 bytes: small enough to broadcast
     rows, _ = save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxicity")
-    bad = {r.feature: r.times for r in _counts(rows.where("toxic"), None, least_docs).orderBy(F.col("feature").isNotNull(), F.desc("docs"), "feature").limit(max_features + 1).collect()}
+    bad = {r.feature: r.times for r in _counts(rows.where("toxic"), None, least_docs).collect()}
     n_bad = bad.pop(None, 0)
     good = {r.feature: r.times for r in _counts(rows.where("not toxic"), frozenset(bad), 0).collect()}
     n_good = good.pop(None, 0)
