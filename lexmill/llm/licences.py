@@ -2,10 +2,11 @@
 
 The token sequences of all templates share one automaton; each state knows where its strings end in the
 templates. A text is streamed through it once; at each word the automaton holds the longest string ending
-there that some template has. Where that can't be lengthened, a match of at least LEAST words is recorded
-with its places in the templates. Matches that advance in both text and template, at most GAP words apart,
-are chained; a chain's covered template words over the template's length are its coverage. A template whose
-best chain covers ``least_coverage`` of it gives its label.
+there that some template has, and through its links the longest one of each template. Where a template can't
+lengthen its own, a match of at least LEAST words is recorded with its places there. Matches that advance in both
+text and template, at most GAP words apart, are chained; a chain's covered template words over the template's
+length are its coverage. A chain that covers ``least_coverage`` of its template, and has the words that set it
+apart, gives its label, unless one that covers more words stands in the same place.
 
 Base phrases are counted wherever their words stand consecutively.
 
@@ -27,20 +28,33 @@ from .words import ALNUM, coded, parts, words
 
 # The phrases of the contract, and wordings by which licences are granted.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: label, wording, and the words one of which a text must have in the place of the match, so that versions and kinds
+#: of one licence are told apart.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "charge"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "fee"),
+    ("apache-2", "licensed under the apache license version 2 0", "version 2"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "license 2"),
+    ("apache-1", "licensed under the apache license version 1 0", "version 1"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "noncommercial"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "noncommercial sharealike"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "noncommercial noderivatives"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "attribution noderivatives"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution 4"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "version 3"),
+    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "version 3"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", "version 2"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "version 2"),
+    ("lgpl-3", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu lesser"),
+    ("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "license 2"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
 ]
 LEAST, GAP = 3, 12
 
@@ -125,31 +139,57 @@ def chains(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
 class Scanner:
     def __init__(self, least_coverage: float = 0.7) -> None:
         self.least_coverage = least_coverage
-        own = sorted({w for text in [*BASE, *(t for _, t in TEMPLATES)] for w in text.split()})
+        own = sorted({w for text in [*BASE, *(t for _, t, _ in TEMPLATES)] for w in text.split()})
         self.number = {w: i for i, w in enumerate(own)}
-        self.templates = [[self.number[w] for w in text.split()] for _, text in TEMPLATES]
+        self.templates = [[self.number[w] for w in text.split()] for _, text, _ in TEMPLATES]
+        self.needs = [[self.number[w] for w in needs.split()] for _, _, needs in TEMPLATES]
         self.automaton = Automaton(self.templates)
+        self.known: dict[int, dict[tuple[int, int], int]] = {}
         self.base = [([self.number[w] for w in text.split()], label) for text, label in BASE.items()]
 
+    def reached(self, state: int) -> dict[tuple[int, int], int]:
+        """(template, past): the length of the longest suffix of the state's string that ends there; at least LEAST."""
+        if state not in self.known:
+            found: dict[tuple[int, int], int] = {}
+            q = state
+            while q > 0 and self.automaton.length[q] >= LEAST:
+                for end in self.automaton.ends[q]:
+                    found.setdefault(end, self.automaton.length[q])
+                q = self.automaton.link[q]
+            self.known[state] = found
+        return self.known[state]
+
     def spans(self, ids: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(label, coverage, first word, past the last) of templates found in one text. ids: -1 for other words."""
+        """(label, coverage, first word, past the last) of templates found in one text. ids: -1 for other words.
+
+        A match counts where its own template can't lengthen it, whatever others can. Of templates that are found in
+        the same place the one with most words covered gives its label.
+        """
         known = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         per: dict[int, list[tuple[int, int, int, int]]] = {}
         for start, stop in known.reshape(-1, 2):
             if stop - start < LEAST:
                 continue
-            seen = list(self.automaton.statistics(ids[start:stop].tolist()))
-            for i, (state, length) in enumerate(seen):
-                if length >= LEAST and (i + 1 == len(seen) or seen[i + 1][1] <= length):
-                    end = int(start) + i + 1
-                    for template, past in self.automaton.ends[state]:
-                        per.setdefault(template, []).append((end - length, end, past - length, past))
+            before: dict[tuple[int, int], int] = {}
+            for i, (state, length) in enumerate([*self.automaton.statistics(ids[start:stop].tolist()), (0, 0)]):
+                now = {end: min(size, length) for end, size in self.reached(state).items()}
+                for (template, past), size in before.items():
+                    if (template, past + 1) not in now:
+                        end = int(start) + i
+                        per.setdefault(template, []).append((end - size, end, past - size, past))
+                before = now
         found = []
         for template, matches in per.items():
-            covered, first, past = max(chains(sorted(matches, key=lambda m: (m[1], m[3]))), key=lambda c: (c[0], -c[1]))
-            if covered >= self.least_coverage * len(self.templates[template]):
-                found.append((TEMPLATES[template][0], min(1.0, covered / len(self.templates[template])), first, past))
-        return sorted(found)
+            needs, size = self.needs[template], len(self.templates[template])
+            for covered, first, past in chains(sorted(matches, key=lambda m: (m[1], m[3]))):
+                own = ids[first:past].tolist()
+                if covered >= self.least_coverage * size and any(own[k : k + len(needs)] == needs for k in range(len(own))):
+                    found.append((covered, TEMPLATES[template][0], min(1.0, covered / size), first, past))
+        kept: list[tuple[int, str, float, int, int]] = []
+        for x in sorted(found, key=lambda x: (-x[0], -x[2], x[3], x[4], x[1])):
+            if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+                kept.append(x)
+        return sorted(x[1:] for x in kept)
 
     def scan(self, texts: pa.Array) -> pa.RecordBatch:
         bounds, flat = words(texts, ALNUM)
