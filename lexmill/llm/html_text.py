@@ -16,7 +16,8 @@ joined by one line feed.
 
 Defined results: null and empty pages give an empty text, as do pages of furniture only, and unmarked pages
 with a single word. Pages cut off in a
-tag lose that tag. Unclosed paragraphs end where the next block starts. Repeated rows give repeated results;
+tag lose that tag. A quote that isn't closed before more of the tag ends the tag at the next ">". The time grows with
+the page, whatever its markup. Unclosed paragraphs end where the next block starts. Repeated rows give repeated results;
 null ids and urls are kept. Only page_id, url and html are read.
 """
 
@@ -46,11 +47,97 @@ COMMENTS = frozenset("comment comments commentlist disqus replies respond".split
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAME, KEY, PLAIN, GAP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"[^\s/>=]+|="), re.compile(r"[^\s>]*"), re.compile(r"[\s/]*")
+EQUALS = re.compile(r"\s*=\s*")
+CLOSES = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: Raw elements that hold text only, whatever it looks like; the others are skipped as a whole where they are closed.
+OPAQUE = frozenset("script style textarea title iframe noscript template".split())
+
+
+class Scanner:
+    """The tags of a page, in one pass from left to right.
+
+    Places of the next quote or bracket are kept until the scan has passed them, and what was once sought in vain isn't
+    sought again, so the time grows with the page however its markup is broken.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.ahead = page, dict[str, int]()
+
+    def next(self, sign: str, at: int) -> int:
+        """The first place of sign from at on; the page's end if there is none."""
+        known = self.ahead.get(sign, -1)
+        if known < at:
+            known = self.page.find(sign, at)
+            self.ahead[sign] = known = len(self.page) if known < 0 else known
+        return known
+
+    def closed(self, name: str, at: int) -> int | None:
+        """Past the next end tag of that name; none if there is none."""
+        key = "/" + name
+        if self.ahead.get(key, -1) < at:
+            found = CLOSES[name].search(self.page, at)
+            self.ahead[key] = found.end() if found else len(self.page) + 1
+        return None if self.ahead[key] > len(self.page) else self.ahead[key]
+
+    def quoted(self, at: int) -> tuple[str, int] | None:
+        """A quoted value and the place past it; none where the quote isn't closed before more of the tag."""
+        end = self.next(self.page[at], at + 1)
+        if end == len(self.page) or self.page[end + 1 : end + 2].strip() not in ("", "/", ">"):
+            return None
+        return self.page[at + 1 : end], end + 1
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """Attributes from a tag's name on, whether the tag closes itself, and the place past it (the page's end: cut off)."""
+        found, size = [], len(self.page)
+        while True:
+            before, at = at, GAP.match(self.page, at).end()
+            if at >= size:
+                return found, False, size
+            if self.page[at] == ">":
+                return found, at > before and self.page[at - 1] == "/", at + 1
+            if (key := KEY.match(self.page, at)) is None:
+                return found, False, size
+            at, value = key.end(), ""
+            if key[0] != "=" and (equals := EQUALS.match(self.page, at)):
+                at = equals.end()
+                if self.page[at : at + 1] in ("'", '"') and at < size:
+                    if (own := self.quoted(at)) is None:  # never closed: the tag ends where it can
+                        return found, False, min(size, self.next(">", at) + 1)
+                    value, at = own
+                else:
+                    plain = PLAIN.match(self.page, at)
+                    value, at = plain[0], plain.end()
+            elif key[0][0] in "'\"" and self.next(key[0][0], key.start() + 1) < self.next(">", at):
+                at = self.next(key[0][0], key.start() + 1) + 1  # a stray quoted string
+            found.append((key[0].lower(), value))
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, list[tuple[str, str]]]]:
+        """(start, past, name, closes, attributes) of all that isn't text; name is empty for what means nothing."""
+        at, page, size = 0, self.page, len(self.page)
+        while (start := self.next("<", at)) < size:
+            close = page[start + 1 : start + 2] == "/"
+            name = NAME.match(page, start + 1 + close)
+            if page.startswith("<!--", start):
+                at = min(size, self.next("-->", start + 4) + 3)
+                yield start, at, "", False, []
+            elif name is None and page[start + 1 : start + 2] in ("!", "?", "/"):
+                at = min(size, self.next(">", start) + 1)
+                yield start, at, "", False, []
+            elif name is None:  # a sign, as in a < b
+                at = start + 1
+            else:
+                own = name[0].lower()
+                attrs, alone, at = self.attributes(name.end())
+                if at >= size and page[-1:] != ">":
+                    own = ""
+                elif own in CLOSES and not close and not (alone and own in ("svg", "math")):
+                    past = self.closed(own, at)
+                    at = past if past is not None else size if own in OPAQUE else at
+                    own = ""
+                yield start, at, own, close, attrs
+
+
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -66,15 +153,14 @@ class Line:
     parent: int
 
 
-def furniture(name: str, attrs: str, inside: bool) -> str:
+def furniture(name: str, attrs: list[tuple[str, str]], inside: bool) -> str:
     """How an element starts page furniture: sure, named, comments or not (empty). inside: it stands in an article."""
     if name in FURNITURE or name == "header" and not inside:
         return "sure"
-    if not attrs.strip() or name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    if not attrs or name in ("html", "body", "article", "main") and not any("comment" in value.lower() for _, value in attrs):
         return ""
     kind = ""
-    for key, *values in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), next((v for v in values if v), "")
+    for key, value in attrs:
         if key in ("class", "id"):
             for token in value.split():
                 own = {p.lower() for p in PARTS.findall(token)}
@@ -112,10 +198,9 @@ def lines(page: str) -> list[Line]:
                 linked += len(decoded)
 
     last = 0
-    for m in TOKEN.finditer(page):
-        add(page[last : m.start()])
-        last = m.end()
-        name = (m["name"] or "").lower()
+    for start, past, name, close, attrs in Scanner(page).tags():
+        add(page[last:start])
+        last = past
         if not name:
             continue
         if name in VOID:
@@ -126,7 +211,7 @@ def lines(page: str) -> list[Line]:
             continue
         if name in BLOCKS:
             end_line()
-        if m["close"]:
+        if close:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -142,12 +227,12 @@ def lines(page: str) -> list[Line]:
         links += name == "a"
         number += 1
         _, marks, inner, inside, _ = stack[-1]
-        inside = inside or name in ("article", "main") or 'role="main"' in m["attrs"]
+        inside = inside or name in ("article", "main") or ("role", "main") in attrs
         if name == "main":
             marks = inner = ()
         elif name == "article" and all(kind != "comments" for _, kind in inner):
             inner = ()
-        if kind := furniture(name, m["attrs"], inside):
+        if kind := furniture(name, attrs, inside):
             marks, inner = (*marks, (number, kind)), (*inner, (number, kind))
         stack.append((name, marks, inner, inside, number))
     add(page[last:])
