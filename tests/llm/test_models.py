@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -186,29 +187,36 @@ def test_language_model_awkward(awkward, nothing, make):
 
 def test_bit_slices_against_sorting():
     rng = np.random.default_rng(0)
-    for n, k, wide in ((1, 3, 3), (5, 20, 3), (300, 20, 40), (1000, 7, 1)):
-        values = np.floor(rng.normal(size=(n, 8)) * wide).astype(int)
-        ids = np.sort(rng.choice(10_000, n, replace=False))
-        index, asked = bitslice.Index(ids, values), values[:20]
-        slices = index.sums(asked)
+    for n, k, wide, far in ((1, 3, 3, 0), (5, 20, 3, 1), (300, 20, 40, 9), (1000, 7, 1, 0)):
+        values = np.floor(rng.normal(size=(n, 8)) * wide).astype(np.int64)
+        values[:far] *= 1 << 40
+        ids, numbers = np.sort(rng.integers(0, 10_000, n)), rng.permutation(n)
+        index, asked = bitslice.Index(ids, numbers, values), values[:20]
+        slices = index.sums(np.where(bitslice.is_wide(asked)[:, None], 0, asked))
         for j in range(len(asked)):
-            best, scores = index.best(asked[j], ids[j], slices, j, k)
-            assert [(-s, i) for s, i in zip(scores, best, strict=True)] == sorted((-int(v @ asked[j]), i) for v, i in zip(values, ids, strict=True) if i != ids[j])[:k]
+            best, scores = index.best(asked[j], numbers[j], None if bitslice.is_wide(asked[j : j + 1])[0] else slices, j, k)
+            exact = lambda v: sum(a * b for a, b in zip(v.tolist(), asked[j].tolist(), strict=True))
+            assert [(-s, index.ids[i]) for s, i in zip(scores, best, strict=True)] == sorted((-exact(v), i) for at, (v, i) in enumerate(zip(values, ids, strict=True)) if at != j)[:k]
 
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(bitslice, "BLOCK", 50)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.choice([-1.5, -0.25, 0.1, 0.3, 2.0], 6)], 0) for i in range(300)] + [(i, [0.5] * 6, 0) for i in range(300, 400)]
-    bad = [(500, None, 0), (520, [1.0, None], 0), (540, [float("nan")], 0), (560, [float("inf")], 0), (None, [1.0], 0), (580, [], 0), (0, rows[0][1], 1), (600, [1e30] * 6, 0)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, label int").withColumn("score", F.lit("x")).withColumn("rank", F.lit("x"))
+    bad = [(500, None, 0), (520, [1.0, None], 0), (540, [float("nan")], 0), (560, [float("inf")], 0), (None, [1.0], 0), (580, [], 0)]
+    # components beyond 2^24 once quantised, as candidates and queries, and rows that share an id
+    odd = [(0, [0.7] * 6, 1), (7, rows[7][1], 1), (600, [3e6, -1e6] * 3, 0), (601, [3e6, 1.0, 0.0, 0.0, 0.0, 0.0], 0), (603, [1e7, 1.5, 0.0, 0.0, 0.0, 0.0], 0), (620, [262144.5] * 6, 0)]
+    df = spark.createDataFrame(rows + bad + odd, "vec_id long, embedding array<double>, label int").withColumn("score", F.lit("x")).withColumn("rank", F.lit("x"))
     found = {}
-    for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
-    q = {i: [min(1 << 24, math.floor(64 * x)) for x in v] + [0] * (6 - len(v)) for i, v, _ in rows + bad if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    assert set(found) == {i for i in q if i % 20 == 0}
-    for i, best in found.items():
-        assert best == sorted((-sum(a * b for a, b in zip(q[i], v, strict=True)), j) for j, v in q.items() if j != i)[:20]
+    for r in bitslice.top_k(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    sound = [(i, [math.floor(64 * x) for x in v] + [0] * (6 - len(v))) for i, v, _ in rows + bad + odd if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    wanted = {}
+    for a, (i, v) in enumerate(sound):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(sound) if a != b)[:20]
+            wanted.setdefault(i, []).extend((n, *x) for n, x in enumerate(best, 1))
+    assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in wanted.items()} and len(found[0]) == 40
     assert bitslice.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
@@ -238,6 +246,39 @@ def test_licences(make, awkward, nothing):
     assert len(edge) == 12 and {r.labels for r in edge} == {""} and licences.licence_scan(nothing).count() == 0
 
 
+def test_licence_versions_and_kinds(make):
+    wanted = {
+        "This work is licensed under the GNU General Public License version 2": "gpl-2", "This work is licensed under the GNU General Public License version 3.": "gpl-3",
+        "Licensed under the Apache License, Version 1.0": "apache-1", "Licensed under the Apache License, Version 2.0": "apache-2", "licensed under the apache license version 7": "",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+    }
+    for kind in ("", "NonCommercial", "NonCommercial ShareAlike", "NonCommercial NoDerivatives", "ShareAlike", "NoDerivatives"):
+        label = "cc-by" + "".join("-" + {"NonCommercial": "nc", "ShareAlike": "sa", "NoDerivatives": "nd"}[k] for k in kind.split())
+        wanted[f"This work is licensed under a Creative Commons Attribution {kind} 4.0 International License."] = label
+    gnu = "You can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version 3 of the License"
+    wanted |= {gnu.format("Lesser"): "lgpl-3", gnu.format("Affero"): "agpl-3", gnu.format(""): "gpl-3"}
+    texts = list(wanted)
+    rows = licences.licence_scan(make([(i, f"word and {t} end here") for i, t in enumerate(texts)])).collect()
+    assert {texts[r.doc_id]: r.labels for r in rows} == wanted
+
+
+def test_matches_of_each_template_against_plain_search():
+    scanner, rng = licences.Scanner(), random.Random(3)
+    for _ in range(40):
+        text = [w for _ in range(3) for t in [rng.choice(scanner.templates)] for a in [rng.randrange(len(t))] for w in t[a : a + rng.randrange(1, 14)]]
+        for (state, length), i in zip(scanner.automaton.statistics(text), range(1, len(text) + 1), strict=True):
+            now = {end: min(size, length) for end, size in scanner.reached(state).items() if min(size, length) >= licences.LEAST}
+            plain = {}
+            for t, own in enumerate(scanner.templates):
+                for past in range(1, len(own) + 1):
+                    n = 0
+                    while n < min(i, past) and own[past - 1 - n] == text[i - 1 - n]:
+                        n += 1
+                    if n >= licences.LEAST:
+                        plain[t, past] = n
+            assert now == plain
+
+
 def test_licence_base_against_plain_search(make):
     rng = random.Random(6)
     pool = "under the mit license apache version 2 cc by nc foo".split()
@@ -286,6 +327,27 @@ def test_html_wrappers_are_not_furniture():
     assert html_text.main_text("<article><p>Text.</p></article><div class='related-posts'><article>Another one, rather long</article></div>") == "Text."
 
 
+@pytest.mark.parametrize(("page", "wanted"), [
+    ("<article><video-player src=x></video-player><p>Text after it.</p></article>", "Text after it."), ("<article><object-card>Card text.</object-card><p>More of it.</p></article>", "Card text.\nMore of it."),
+    ("<article><p>Before it.</p><svg width=1 /><p>After it.</p></article>", "Before it.\nAfter it."), ("<article><p data-x=it's>Some text.</p></article>", "Some text."),
+    ('<article><p class="x>Hello there.</p><p class="y">Second one.</p></article>', "Hello there.\nSecond one."), ("<article><p class='share-price'>Price is 3.</p><p id='comment-on-law'>On law.</p></article>", "Price is 3.\nOn law."),
+    ("<article><p title='a > b'>If a < b then c.</p><canvas>no end<p>Last one.</p></article>", "If a < b then c.\nno end\nLast one."), ("<article><p>Text here.</p><script>if (a</b) '<p>'</SCRIPT ><p>End of it.</p></article>", "Text here.\nEnd of it."),
+    ("<article><p>One <!-- > --> two.</p><!doctype x><?php y ?><p>Three four.</article", "One two.\nThree four."),
+])
+def test_html_odd_markup(page, wanted):
+    assert html_text.main_text(page) == wanted
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a x='", "<svg>", "<!--", "</", "<a x=\"y'", "<", "<p class=\"a\"b\""])
+def test_html_scan_is_linear(piece):
+    def steps(n):
+        began = time.perf_counter()
+        list(html_text.Scanner(piece * n + '"').tags())
+        return time.perf_counter() - began
+
+    assert steps(100_000) < 6.0  # a quadratic scan takes minutes
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE % "<main><p>a</p></main>", "x"), (1, "u", PAGE % "<main><p>a</p></main>", "x"), (2, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("a", 1), ("a", 1)]
