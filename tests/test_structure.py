@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.errors import ConfigError, UnknownProfileError
+from lexmill.functions import rx
 from lexmill.operators import chunks, guidance, sections, trace
 from lexmill.plans import profiles
 
@@ -124,3 +127,15 @@ def test_adjacency_and_nesting(docs):
 def test_trace(docs):
     events = trace.events(docs("Schedule 1. Definitions\n\"Act\" means it."), "generic").collect()
     assert {e.type for e in events} == {"chunk_policy_selected", "document_normalized", "section_line_classified", "heading_detected", "definition_schedule_split"}
+
+
+def test_points_and_places_in_linear_work(spark):
+    """Thousands of points and matches in one text: blocks and places are those of a plain scan."""
+    body = "Start.\n" + "\n".join(f"{n % 900 + 1}. Point\nbody № {n}\n12. Not one" if n % 7 == 0 else f"{n % 900 + 1}. Point {n}" for n in range(6000))
+    df = spark.createDataFrame([(body,)], "t string")
+    blocks = df.select(guidance.split_blocks(F.col("t")).alias("b")).head().b
+    plain = [m.start() for m in re.finditer(r"(?m)^\d{1,3}\. (?=[A-Z])", body)]
+    assert [b.start for b in blocks] == [0, *plain] and all(body[b.start :].startswith(b.text) for b in blocks)
+    assert "".join(b.text for b in blocks).replace("\n", "") == body.replace("\n", "")
+    spans = df.select(rx.spans(F.col("t"), r"\d+").alias("s")).head().s
+    assert [(x.start, x.past, x.text) for x in spans] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", body)]
