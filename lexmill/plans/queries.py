@@ -167,7 +167,10 @@ def section_paths(spark, sf_dir):
     return sections.sections(_statutes(spark, sf_dir), "generic", "statute").select("doc_id", "order", F.array_join("path", "||").alias("path"))
 
 
-@query(_tree() + ', r AS (SELECT doc_id, n, section_id FROM i WHERE n <= 1) SELECT i.doc_id, i.n AS "order", i.section_id, r.section_id AS parent_section_id FROM i LEFT JOIN r ON r.doc_id = i.doc_id AND r.n = CASE WHEN i.n > 1 THEN 1 ELSE i.n - 1 END')
+_ROOT_OF, _PART_OF = ("max(CASE WHEN n = %d THEN section_id END) OVER (PARTITION BY doc_id)" % n for n in (0, 1))
+
+
+@query(_tree() + f' SELECT doc_id, n AS "order", section_id, CASE WHEN n > 1 THEN {_PART_OF} WHEN n = 1 THEN {_ROOT_OF} END AS parent_section_id FROM i')
 def section_ids(spark, sf_dir):
     return sections.sections(_statutes(spark, sf_dir), "generic", "statute").select("doc_id", "order", "section_id", "parent_section_id")
 
@@ -444,3 +447,30 @@ def merged_markers(spark, sf_dir):
 @query(f"WITH {_O}, a AS (SELECT sum(CASE WHEN total >= 3 THEN 2 ELSE 4 END) AS c, sum(CASE WHEN total >= 3 THEN 1 ELSE 3 END) AS d FROM o) SELECT 'pdf_line_classified' AS type, CAST(c AS BIGINT) AS n FROM a UNION ALL SELECT 'pdf_line_decided', CAST(d AS BIGINT) FROM a")
 def page_trace_events(spark, sf_dir):
     return trace.page_events(_registry(spark, sf_dir), "generic").groupBy("type").agg(F.count("*").alias("n"))
+
+
+_STATES = """WITH {o}, p AS (SELECT n % 3 AS leaders FROM o)
+SELECT 'pdf_line_classified' AS type, 'body_text' AS kind, CAST(NULL AS VARCHAR) AS state_to, 2 * count(*) AS n FROM p
+UNION ALL SELECT 'pdf_line_classified', 'toc_leader', NULL, CAST(sum(leaders) AS BIGINT) FROM p
+UNION ALL SELECT 'pdf_line_decided', 'body_text', 'front_matter', 2 * count(*) FROM p WHERE leaders < 2"""
+
+
+@query(_STATES.format(o=_O))
+def page_contents_events(spark, sf_dir):
+    """Pages of contents have no decisions; a single line of contents goes before lines are merged."""
+    return _page_events(corpora.contents_pages(table(spark, sf_dir, "orders")))
+
+
+@query(f"""WITH {_O}, k AS (SELECT count(*) AS n FROM o)
+SELECT 'pdf_line_classified' AS type, 'body_text' AS kind, CAST(NULL AS VARCHAR) AS state_to, 2 * n AS n FROM k
+UNION ALL SELECT 'pdf_line_classified', 'structural_heading', NULL, 3 * n FROM k
+UNION ALL SELECT 'pdf_line_decided', 'body_text', 'front_matter', n FROM k UNION ALL SELECT 'pdf_line_decided', 'structural_heading', 'body', n FROM k
+UNION ALL SELECT 'pdf_line_decided', 'body_text', 'body', n FROM k""")
+def page_marker_events(spark, sf_dir):
+    """Markers are decided on with the lines that take them; a heading makes the rest of a page body."""
+    return _page_events(corpora.marker_pages(table(spark, sf_dir, "orders")))
+
+
+def _page_events(found: DataFrame) -> DataFrame:
+    told = trace.page_events(found, "generic").select("type", F.element_at("data", "kind").alias("kind"), F.element_at("data", "state_to").alias("state_to"))
+    return told.groupBy("type", "kind", "state_to").agg(F.count("*").alias("n"))
