@@ -23,7 +23,8 @@ def normalize_extracted(text: Column | str) -> Column:
     # a hyphen or the first space after a word: only there does the pattern look back
     t = rx.gated(t, "-", lambda x: F.regexp_replace(x, rf"{rx.PREFIX}(?:-(?<=\w-)|{gap}(?<=\w{gap}){gap}*-){gap}*(?=\w)", "-"))
     t = F.regexp_replace(t, r" [ \t\x0B]+|[\t\x0B][ \t\x0B]*", " ")
-    t = F.regexp_replace(t, rf"(?dm)^{gap}+|{gap}+$", "")
+    # both ends of the text are stripped anyway; the line feed stands first, so the search rarely looks at a class
+    t = rx.gated(t, rf"\n(?:{gap}|(?<={gap}\n))", lambda x: F.regexp_replace(x, rf"(?dm)^{gap}+|{gap}+$", ""))
     return rx.strip(rx.gated(t, r"\n\n\n", lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n")))
 
 

@@ -91,6 +91,7 @@ def subdivisions(body: Column, label: str) -> Column:
 
 
 US_LABEL, EU_LABEL = r"\((?:[a-z]|\d+|[A-Z])\)", r"(?:\d+\.|\((?:[a-z]|\d+)\))"
+ARTICLE_LABELS = {"us_rule": US_LABEL, "eu_article": EU_LABEL}
 
 
 def subdivided(body: Column, label: str, limits: Limits) -> Column:
@@ -195,6 +196,22 @@ def definitions(body: Column) -> Column:
     return rx.let(rx.let(t, lambda own: F.struct(own.alias("text"), rx.spans(own, ENTRY).alias("found"))), entries)
 
 
+def special(own: Profile, limits: Limits, body: Column) -> list[tuple[str, Column, Column]]:
+    """How sections under the statute policy are cut by what they hold: (name, which sections, splits), tried in order.
+
+    body: the section's stripped text. Splits are empty where the text has no such structure.
+    """
+    kind, long = F.coalesce("section_type", F.lit("")), F.length(body) > limits.max_chars
+    entries = F.transform(definitions(body), lambda e: split("definition_entry", F.concat(e["term"], F.lit(": "), e["definition"]), "definition_entry", e["term"], e["term"]))
+    ways = [("definition_schedule_split", (kind == "other") & F.lower("title").contains("definition"), entries)]
+    if style := own.switch("article_splitter"):
+        ways.append((f"{style}_subdivision_split", (kind == "article") & long, subdivided(body, ARTICLE_LABELS[style], limits)))
+    if own.switch("oversized_splitter") == "rulebook":
+        rules = F.transform(rule_blocks(body), lambda b: split("statute_rule", F.concat(F.col("title"), F.lit("\n"), b["number"], F.lit(". "), b["text"]), "rule_block", b["number"]))
+        ways.append(("rule_block_split", (kind == "section") & long, rules))
+    return ways
+
+
 def splits(profile: Profile | str, policy: str, limits: Limits | None = None) -> Column:
     """The splits of a section row (kind, title, section_type, metadata, text), as an array."""
     own, limits = resolve(profile), limits or resolve(profile).limits
@@ -204,7 +221,6 @@ def splits(profile: Profile | str, policy: str, limits: Limits | None = None) ->
         return rx.let(found, lambda f: F.when(F.size(f) > 0, f))
 
     def cut(body: Column) -> Column:
-        long = F.length(body) > limits.max_chars
         if policy == "guidance":
             point = F.col("metadata.legal_unit_type").eqNullSafe("guidance_point") | (kind == "review_point")
             return F.when(point, F.array(split("guidance_point", body))).when(root, one_each(paragraphs(body), limits, "guidance_preamble")).otherwise(one_each(paragraphs(body), limits, "guidance_block"))
@@ -217,13 +233,7 @@ def splits(profile: Profile | str, policy: str, limits: Limits | None = None) ->
             tried.append(F.when(root, title_preamble(body, limits)))
         elif own.switch("root_splitter") == "eu_recitals":  # a short preamble gives no chunk
             tried.append(F.when(root, subdivided(body, EU_LABEL, limits)))
-        entries = F.transform(definitions(body), lambda e: split("definition_entry", F.concat(e["term"], F.lit(": "), e["definition"]), "definition_entry", e["term"], e["term"]))
-        tried.append(F.when((kind == "other") & F.lower("title").contains("definition"), some(entries)))
-        if label := {"us_rule": US_LABEL, "eu_article": EU_LABEL}.get(own.switch("article_splitter")):
-            tried.append(F.when((kind == "article") & long, some(subdivided(body, label, limits))))
-        if own.switch("oversized_splitter") == "rulebook":
-            rules = F.transform(rule_blocks(body), lambda b: split("statute_rule", F.concat(F.col("title"), F.lit("\n"), b["number"], F.lit(". "), b["text"]), "rule_block", b["number"]))
-            tried.append(F.when((kind == "section") & long, some(rules)))
+        tried += [F.when(fits, some(found)) for _, fits, found in special(own, limits, body)]
         return F.coalesce(*tried, packed(paragraphs(body), limits, "statute_unit"))
 
     return rx.let(rx.strip(F.col("text")), cut)

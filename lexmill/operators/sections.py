@@ -63,10 +63,11 @@ def line_kind(heading: Column, line: Column) -> Column:
     return F.when(line == "", "blank").when(heading.isNotNull(), "heading").otherwise("text")
 
 
-def tree(lines_: DataFrame, case: Callable[[Column], Column] | None = None) -> DataFrame:
+def tree(lines_: DataFrame, case: Callable[[Column], Column] | None = None, with_lines: bool = False) -> DataFrame:
     """Sections of the given lines. Every document has a root, in front of its headings.
 
-    case: from a point's text to the struct of what is known of the decision it cites.
+    case: from a point's text to the struct of what is known of the decision it cites. with_lines: add lines, each
+    section's array of struct(line_no, text, start, heading); the root's starts with an empty line numbered -1.
     """
     order = Window.partitionBy("doc_id").orderBy("line_no")
     # an empty line before the first one stands for the root, so each line is classified in one pass only
@@ -74,12 +75,13 @@ def tree(lines_: DataFrame, case: Callable[[Column], Column] | None = None) -> D
     both = lines_.withColumn("root", F.explode(copies))
     both = both.select("doc_id", "source_name", "total", F.when(F.col("root"), -1).otherwise(F.col("line_no")).alias("line_no"), "start", "past", F.when(F.col("root"), "").otherwise(F.col("text")).alias("text"), F.when(~F.col("root"), F.col("heading")).alias("heading"), F.when(~F.col("root"), F.col("point")).alias("point"))
     numbered = both.withColumn("section", F.sum(F.col("heading").isNotNull().cast("int")).over(order).cast("int"))
+    kept = ["line_no", "text", "start", "heading"] if with_lines else ["line_no", "text"]
     bodies = numbered.groupBy("doc_id", "section").agg(
         F.first("source_name").alias("source_name"), F.first("total").alias("total"), F.max("heading").alias("heading"), F.max("point").alias("point"), F.min("line_no").alias("line_no"),
         F.min(F.when(F.col("heading").isNotNull(), F.col("start"))).alias("start"), F.max(F.when(F.col("text") != "", F.col("past"))).alias("past"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("joined"),
+        F.sort_array(F.collect_list(F.struct(*kept))).alias("lines"),
     )
-    bodies = bodies.withColumn("text", rx.strip(F.regexp_replace("joined", r"\n{3,}", "\n\n"))).withColumn("depth", F.when(F.col("section") > 0, headings.level(F.col("heading.kind"))))
+    bodies = bodies.withColumn("joined", F.array_join("lines.text", "\n")).withColumn("text", rx.strip(F.regexp_replace("joined", r"\n{3,}", "\n\n"))).withColumn("depth", F.when(F.col("section") > 0, headings.level(F.col("heading.kind"))))
     before = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     titled = bodies.withColumn("label", F.coalesce("heading.label", F.lit(ROOT)))
 
@@ -103,6 +105,7 @@ def tree(lines_: DataFrame, case: Callable[[Column], Column] | None = None) -> D
         "doc_id", "source_name", "section_id", kind.alias("kind"), F.col("label").alias("title"), F.col("section").alias("order"), "parent_section_id", "path",
         F.when(F.col("point").isNotNull(), "review_point").otherwise(kind).alias("section_type"), metadata(**known).alias("metadata"),
         F.coalesce("start", F.lit(0)).alias("start_offset"), F.greatest(F.coalesce("start", F.lit(0)), F.coalesce("past", "total")).alias("end_offset"), "text",
+        *(["lines"] if with_lines else []),
     )
 
 

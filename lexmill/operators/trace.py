@@ -33,27 +33,39 @@ def events(docs: DataFrame, profile: Profile | str = "generic", doc_kind: str |
         _event("normalize", "document_normalized", F.lit(0), source_name=F.col("source_name"), char_length=F.length("text")),
     )
     lines = tree.lines(base, own, policy)
-    kind = tree.line_kind(F.col("heading"), F.col("text"))
-    of_line = _event("detect", "section_line_classified", F.col("line_no"), rule_id=F.concat(F.lit("section.line."), kind), kind=kind, offset=F.col("start"), text=F.col("text"))
-    of_heading = _event("detect", "heading_detected", F.col("line_no"), kind=F.col("heading.kind"), label=F.col("heading.label"), offset=F.col("start"))
-    found = [F.when(~F.col("block"), of_line), F.when(~F.col("block") & F.col("heading").isNotNull(), of_heading)]
+    if policy == "statute":
+        return whole.unionByName(_of_sections(tree.tree(lines, with_lines=True), own))
+    found = list(_line_events(F.struct("line_no", "text", "start", "heading")))
     if policy == "guidance":
+        found = [F.when(~F.col("block"), e) for e in found]
         case = guidance.case_metadata(F.col("text"), own, doc_kind)["source_case_reference"]
         point = _event("assemble", "guidance_point_detected", F.col("line_no"), point_number=F.col("point"), has_case_reference=case.isNotNull())
         preamble = _event("assemble", "guidance_preamble_detected", F.col("line_no"), char_length=F.length("text"))
         found += [F.when(F.col("point").isNotNull(), point), F.when(F.col("block") & F.col("point").isNull(), preamble)]
-    out = whole.unionByName(_told(lines, *found))
-    if policy != "statute":
-        return out
-    name = {"us_rule": "us_rule_subdivision_split", "eu_article": "eu_article_subdivision_split"}.get(own.switch("article_splitter"))
-    cuts = tree.tree(lines).where("text <> ''").withColumn("splits", rx.once(cut.splits(own, policy))).withColumn("first", F.get("splits", F.lit(0)))
-    typed = F.when(F.col("first.unit_type") == "definition_entry", "definition_schedule_split").when(F.col("first.unit_type") == "rule_block", "rule_block_split")
-    if name:
-        label = cut.US_LABEL if name.startswith("us") else cut.EU_LABEL
-        long = (F.col("section_type") == "article") & (F.length(rx.strip(F.col("text"))) > own.limits.max_chars)
-        typed = typed.when(long & (F.size(cut.subdivided(F.col("text"), label, own.limits)) > 0), name)
-    named = cuts.withColumn("name", typed).where("name is not null")
-    return out.unionByName(named.select("doc_id", F.lit("chunk").alias("stage"), F.col("name").alias("type"), F.col("order").cast("long").alias("position"), F.create_map(F.lit("section"), F.col("title"), F.lit("count"), F.size("splits").cast("string")).alias("data")))
+    return whole.unionByName(_told(lines, *found))
+
+
+def _line_events(line: Column) -> tuple[Column, Column]:
+    """What a line (line_no, text, start, heading) was taken for; and its heading, null where it is none."""
+    heading = line["heading"]
+    kind = tree.line_kind(heading, line["text"])
+    taken = _event("detect", "section_line_classified", line["line_no"], rule_id=F.concat(F.lit("section.line."), kind), kind=kind, offset=line["start"], text=line["text"])
+    found = _event("detect", "heading_detected", line["line_no"], kind=heading["kind"], label=heading["label"], offset=line["start"])
+    return taken, F.when(heading.isNotNull(), found)
+
+
+def _of_sections(sections: DataFrame, own: Profile) -> DataFrame:
+    """Events of sections under the statute policy: of their lines, and of texts cut in a way of their own."""
+    lines = F.filter("lines", lambda x: x["line_no"] >= 0)
+    of_lines = F.flatten(F.transform(lines, lambda x: F.array(*_line_events(x))))
+
+    def split(name: str, parts: Column) -> Column:
+        made = lambda n: F.when(n > 0, _event("chunk", name, F.col("order"), section=F.col("title"), count=n))
+        return rx.let(F.size(parts), made)
+
+    splits = [F.when(fits, split(name, parts)) for name, fits, parts in cut.special(own, own.limits, rx.strip(F.col("text")))]
+    every = F.filter(F.concat(of_lines, F.array(F.coalesce(*splits))), lambda e: e.isNotNull())
+    return sections.select("doc_id", F.explode(every).alias("e")).select("doc_id", "e.*")
 
 
 def _of_line(line: Column, profile: Profile) -> dict[str, Column]:
