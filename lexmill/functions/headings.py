@@ -67,7 +67,7 @@ def _heading(kind: str, label: Column, article: Column | None = None, paragraph:
 
 
 def _unpacked(by: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
-    return lambda p: by(p["num"], p["title"], rx.strip(p["title"]))
+    return lambda p: rx.let(rx.trimmed(p["title"]), lambda tail: by(p["num"], p["title"], tail))
 
 
 def _decided(line: Column, profile: Profile, policy: str) -> Column:
@@ -135,4 +135,4 @@ def detect_heading(line: Column, profile: Profile | str = "generic", policy: str
         decided = F.filter(F.transform(candidates, lambda t: _decided(t, own, policy)), lambda h: h["kind"].isNotNull())
         return F.when(likely, F.get(decided, F.lit(0)))
 
-    return rx.let(rx.strip(F.coalesce(line, F.lit(""))), found)
+    return rx.let(F.coalesce(line, F.lit("")), lambda t: rx.let(rx.trimmed(t), found))

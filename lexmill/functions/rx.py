@@ -39,6 +39,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_CHARS))
 
 
+def trimmed(c: Column) -> Column:
+    """strip() of a value that may be named several times: a column, a field or a bound variable.
+
+    Most texts start and end with a visible ASCII character, which is far cheaper to see than to trim.
+    """
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(strip(c))
+
+
 def collapsed(c: Column) -> Column:
     """strip(), and runs of white space as one space. Single spaces aren't matched, since most already are."""
     return F.regexp_replace(strip(c), rf" {WHITE}+|{WHITE[:-1]}&&[^ ]]{WHITE}*", " ")

@@ -105,4 +105,5 @@ def normalize_guidance(text: Column | str) -> Column:
 
 def normalize_line(line: Column | str) -> Column:
     """One line of a page: plain spaces and hyphens, stripped."""
-    return rx.strip(F.regexp_replace(F.translate(_text(line), "\u00a0\u2011\u00ad", " -"), r"[ \t]+", " "))
+    plain = rx.gated(_text(line), "[\u00a0\u2011\u00ad]", lambda x: F.translate(x, "\u00a0\u2011\u00ad", " -"))
+    return rx.let(F.regexp_replace(plain, r" [ \t]+|\t[ \t]*", " "), rx.trimmed)

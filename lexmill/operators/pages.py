@@ -47,12 +47,19 @@ def fingerprint(line: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def header_fingerprint(lines: pd.Series) -> pd.Series:
-    return lines.map(fingerprint)
+def _folded(lines: pd.Series) -> pd.Series:
+    return lines.map(fingerprint, na_action="ignore")
+
+
+def header_fingerprint(line: Column) -> Column:
+    """fingerprint() of a normalised line. Only lines beyond ASCII are folded in Python."""
+    plain = ~line.rlike(r"[^\x00-\x7F]")
+    own = F.when((F.length(line) < 4) | line.rlike(r"\A\d{1,4}\z"), F.lit("")).otherwise(F.lower(line))
+    return F.when(plain, own).otherwise(_folded(F.when(~plain, line)))
 
 
 def is_noise_candidate(line: Column) -> Column:
-    s = rx.strip(line)
+    s = rx.trimmed(line)
     letter = s.rlike(r"\A\p{IsAlphabetic}\z")
     return letter | ((F.length(s) >= 8) & ~s.rlike(PAGE_NUMBER) & ~s.rlike(LIST) & ~s.rlike(TOC))
 
@@ -61,13 +68,13 @@ def repeated_noise(lines: DataFrame) -> DataFrame:
     """doc_id, line: lines at the top or the bottom of at least REPEATED pages of their document."""
     n = F.size("lines")
     ends = F.concat(F.slice("lines", 1, LEADING), F.slice("lines", F.greatest(F.lit(1), n - TRAILING + 1), F.lit(TRAILING)))
-    seen = lines.select("doc_id", "page_number", F.explode(F.array_distinct(ends)).alias("line")).where(is_noise_candidate(F.col("line")))
+    seen = lines.select("doc_id", "page_number", F.explode_outer(F.array_distinct(ends)).alias("line")).where(is_noise_candidate(F.col("line")))
     return seen.groupBy("doc_id", "line").agg(F.count_distinct("page_number").alias("n_pages")).where(F.col("n_pages") >= REPEATED).select("doc_id", "line")
 
 
 def repeated_fingerprints(lines: DataFrame) -> DataFrame:
     """doc_id, fingerprint: of lines at the top of at least REPEATED pages of their document."""
-    seen = lines.select("doc_id", "page_number", F.explode(F.slice("lines", 1, LEADING)).alias("line")).select("doc_id", "page_number", header_fingerprint("line").alias("fingerprint")).where("fingerprint <> ''")
+    seen = lines.select("doc_id", "page_number", F.explode_outer(F.slice("lines", 1, LEADING)).alias("line")).select("doc_id", "page_number", header_fingerprint(F.col("line")).alias("fingerprint")).where("fingerprint <> ''")
     return seen.groupBy("doc_id", "fingerprint").agg(F.count_distinct("page_number").alias("n_pages")).where(F.col("n_pages") >= REPEATED).select("doc_id", "fingerprint")
 
 
@@ -85,13 +92,17 @@ def is_profile_noise(line: Column, profile: Profile) -> Column:
 
 def is_structural(line: Column, profile: Profile) -> Column:
     """A heading, or a short line in capitals."""
-    letters, capitals = (F.length(F.regexp_replace(line, p, "")) for p in (r"\P{IsAlphabetic}+", r"\P{IsUppercase}+"))
-    return detect_heading(line, profile).isNotNull() | ((F.length(line) <= 120) & (letters > 0) & (capitals >= letters * 0.85))
+    # without a capital nothing needs to be counted
+    letters, capitals = (F.regexp_count(line, F.lit(p)) for p in (r"\p{IsAlphabetic}", r"\p{IsUppercase}"))
+    shouted = (F.length(line) <= 120) & line.rlike(r"\p{IsUppercase}") & rx.let(letters, lambda n: (n > 0) & (capitals >= n * 0.85))
+    return shouted | detect_heading(line, profile).isNotNull()
 
 
 def is_running_header(line: Column) -> Column:
-    low = F.lower(line)
-    return (low == "contents") | _any_of([low.contains(x) for x in ARABIC_HEADERS]) | (low.contains("@") & low.rlike(EMAIL)) | (low.contains("po box") & low.contains("authority"))
+    arabic = _any_of([line.contains(x) for x in ARABIC_HEADERS])  # has no case
+    email = line.contains("@") & F.lower(line).rlike(EMAIL)
+    titled = lambda low: (low == "contents") | (low.contains("po box") & low.contains("authority"))
+    return arabic | email | rx.let(F.lower(line), titled)
 
 
 def line_kind(line: Column, profile: Profile | str) -> Column:
@@ -226,7 +237,8 @@ def cleaned_lines(pages: DataFrame, profile: Profile | str) -> DataFrame:
     What repeats in a document is one small row, so whole lines are never dealt out by themselves. Pages are then
     dealt by their numbers: a document with very many doesn't stay in one task.
     """
-    own, base = resolve(profile), page_lines(pages)
+    # the three uses of this exchange have one plan, so Spark writes it once: lines are made once
+    own, base = resolve(profile), spread(page_lines(pages), "doc_id", "page_number")
     noise = repeated_noise(base).groupBy("doc_id").agg(F.collect_set("line").alias("noise"))
     prints = repeated_fingerprints(base).groupBy("doc_id").agg(F.collect_set("fingerprint").alias("prints"))
     known = noise.join(prints, "doc_id", "full_outer")

@@ -56,7 +56,7 @@ def lines(docs: DataFrame, profile: Profile | str = "generic", policy: str = "de
     if policy == "guidance":
         point = F.struct(F.lit("clause").alias("kind"), F.concat(F.lit("Point "), F.col("point")).alias("label"), none.cast("string").alias("article_number"), none.cast("string").alias("paragraph_number"))
         heading = F.when(~F.col("block"), heading).when(F.col("point").isNotNull(), point)
-    return placed.select("doc_id", "source_name", "total", "line_no", "start", (F.col("start") + F.length("raw")).alias("past"), rx.strip(F.col("raw")).alias("text"), rx.once(heading).alias("heading"), "point", "block")
+    return placed.select("doc_id", "source_name", "total", "line_no", "start", (F.col("start") + F.length("raw")).alias("past"), rx.trimmed(F.col("raw")).alias("text"), rx.once(heading).alias("heading"), "point", "block")
 
 
 def line_kind(heading: Column, line: Column) -> Column:
