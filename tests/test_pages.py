@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill import cli
 from lexmill.errors import PdfSupportError
@@ -84,3 +85,9 @@ def test_files_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(read.schema).parquet(str(tmp_path / "docs"))
     batches.process(stream, chunks.chunks, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(str(tmp_path / "chunks")).count() == 1
+
+
+def test_header_fingerprints_of_all_alphabets(spark):
+    lines = ["", "A.", "1234", "12345", "Title Page", "x yz", "A ﻻ قانون", "Ｆｕｌｌ width", "é", "Закон О"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", pages.header_fingerprint(F.col("line")).alias("own")).collect()
+    assert {r["line"]: r["own"] for r in rows} == {x: pages.fingerprint(x) for x in lines}

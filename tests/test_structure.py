@@ -139,3 +139,14 @@ def test_points_and_places_in_linear_work(spark):
     assert "".join(b.text for b in blocks).replace("\n", "") == body.replace("\n", "")
     spans = df.select(rx.spans(F.col("t"), r"\d+").alias("s")).head().s
     assert [(x.start, x.past, x.text) for x in spans] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", body)]
+
+
+def test_trace_of_a_statute_tells_each_line_and_cut(docs):
+    body = "Part 1. Goods\n\nArticle 1. Terms\nThey bind.\nSchedule 1. Definitions\n\"Act\" means it.\n\"Law\" means that."
+    told = trace.events(docs(body, " ", "no heading"), "generic", "code").collect()
+    lines = sorted((e["doc_id"], e["position"], e["data"]["kind"]) for e in told if e["type"] == "section_line_classified")
+    kinds = ["heading", "blank", "heading", "text", "heading", "text", "text"]
+    assert lines == [(0, i, k) for i, k in enumerate(kinds)] + [(2, 0, "text")]
+    assert sorted(e["position"] for e in told if e["type"] == "heading_detected") == [0, 2, 4]
+    assert [(e["doc_id"], e["position"], e["data"]) for e in told if e["type"] == "definition_schedule_split"] == [(0, 3, {"section": "Schedule 1. Definitions", "count": "2"})]
+    assert sum(e["type"] == "document_normalized" for e in told) == 3

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,13 @@ HEADINGS = [
 def test_headings(one, line, profile, policy, wanted):
     found = one(detect_heading(F.lit(line), profile, policy))
     assert (tuple(found) if found else None) == wanted
+
+
+def test_ends_of_texts_and_lines(spark):
+    """trimmed() is strip(); lines lose white space at their ends wherever it stands."""
+    texts = ["", " ", "a", " a", "a ", "　é\x85", "é a", "a é ", "\n", "a \n b\n\x0b\nc", " a\t\n", "a\n \n \n\nb", "x\n y"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", rx.trimmed(F.col("t")).alias("a"), text.normalize_extracted("t").alias("b")).collect()
+    assert {r["t"]: r["a"] for r in rows} == {None: None} | {t: t.strip() for t in texts}
+    for r in rows:
+        lines = [re.sub(r"[ \t\x0b]+", " ", x).strip() for x in (r["t"] or "").split("\n")]
+        assert r["b"] == re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
