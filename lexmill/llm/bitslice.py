@@ -11,8 +11,11 @@ stand at the boundary and are resolved by the smaller id. Scores of the chosen r
 Rows with a component beyond WIDE stand outside the slices, whose bits and sums they would not fit; they, and
 queries with such components, are scored by whole numbers of any length.
 
-Queries are a stated set of rows; they meet all rows in blocks. A block of BLOCK vectors and one of queries is
-one unit of work, whatever the values are, so a vector that a third of all rows share makes no task larger.
+Queries are a stated set of rows; they are sent to every task in rounds of at most ROUND. Each task takes the
+vectors that were dealt to it in blocks of at most BLOCK, keeps the best k of each query over its blocks and hands
+on only those. So vectors are dealt once and never copied, and a task holds one block, one round of queries and
+their best k, however many rows there are; blocks and rounds are smaller (BYTES) for long vectors. Vectors are
+dealt by a hash of their numbers, so a vector that a third of all rows share makes no task larger.
 
 Defined results: a vector that is null or holds null, NaN or infinite components takes no part, nor does a row
 with null id. Missing components of shorter vectors count as zero. Rows are told apart by themselves, not by
@@ -24,16 +27,16 @@ is a score (rows are ranked by the exact one). An empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import drop, save, spread
+from .store import save, spread
 
-BLOCK, WIDE, TOGETHER = 1 << 16, 1 << 24, 16
+BLOCK, ROUND, BYTES, WIDE, TOGETHER = 1 << 15, 1 << 15, 1 << 24, 1 << 24, 16
 LOW = (1 << 62) - 1
 
 
@@ -153,64 +156,96 @@ def quantised(vector: str, scale: int) -> Column:
     return F.when(sound, F.transform(x, lambda v: F.floor(v.cast("double") * scale)))
 
 
-def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """rows (id, row, q) in n blocks: block; ids, row numbers and values as bytes; the width and the bytes of a value."""
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of whole numbers as rows of that width, with zeros behind the shorter ones."""
+    own = np.zeros((len(lists), width), np.int64)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    own[np.arange(width) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return own
 
-    def block(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["id", "row"])
-        width = max(map(len, own.q), default=0)
-        values = np.zeros((len(own), width), "<i8")
-        for i, v in enumerate(own.q):
-            values[i, : len(v)] = v
-        size = 4 if not values.size or -(1 << 31) <= values.min() and values.max() < 1 << 31 else 8
-        return pd.DataFrame({name: [int(own.block.iloc[0])], "ids": [own.id.to_numpy("<i8").tobytes()], "rows": [own.row.to_numpy("<i8").tobytes()], "data": [values.astype(f"<i{size}").tobytes()], "width": [width], "size": [size]})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(block, f"{name} int, ids binary, rows binary, data binary, width int, size int")
+class Best:
+    """The k best rows of each of n queries so far, by score and then id: high and low halves of scores, ids, scores."""
 
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.none = k, np.ones((n, k), bool)
+        self.columns = [np.zeros((n, k), np.int64) for _ in range(4)]
 
-def _unpacked(r: dict, prefix: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, rows = (np.frombuffer(r[prefix + x], "<i8") for x in ("ids", "rows"))
-    values = np.frombuffer(r[prefix + "data"], f"<i{r[prefix + 'size']}").reshape(len(ids), r[prefix + "width"]).astype(np.int64)
-    return ids, rows, np.pad(values, ((0, 0), (0, width - values.shape[1])))
+    def add(self, first: int, found: list[tuple[np.ndarray, list[int] | np.ndarray]]) -> None:
+        """found: ids and scores for each of the queries from the first on."""
+        none = np.ones((len(found), self.k), bool)
+        new = [np.zeros((len(found), self.k), np.int64) for _ in range(4)]
+        for i, (ids, scores) in enumerate(found):
+            if isinstance(scores, np.ndarray):
+                halves = scores >> 62, scores & LOW, ids, scores
+            else:
+                held = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+                halves = [held(s >> 62) for s in scores], [s & LOW for s in scores], ids, [held(s) for s in scores]
+            none[i, : len(ids)] = False
+            for column, own in zip(new, halves, strict=True):
+                column[i, : len(ids)] = own
+        at = slice(first, first + len(found))
+        none = np.concatenate([self.none[at], none], axis=1)
+        both = [np.concatenate([old[at], own], axis=1) for old, own in zip(self.columns, new, strict=True)]
+        order = np.lexsort((both[2], -both[1], -both[0], none), axis=1)[:, : self.k]
+        self.none[at] = np.take_along_axis(none, order, 1)
+        for old, own in zip(self.columns, both, strict=True):
+            old[at] = np.take_along_axis(own, order, 1)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row where queries (a condition) holds."""
     spark = vectors.sparkSession
     taken = vectors.select(F.col(id_column).cast("long").alias("id"), quantised(vector, scale).alias("q"), F.coalesce(queries, F.lit(False)).alias("asked")).where("id is not null and q is not null")
-    sound, path = save(taken.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so numbers stay
-    n, asked = sound.agg(F.count("*"), F.count_if("asked")).head()
-    n_query = max(1, -(-asked // 8192), min(-(-asked // 256), spread(spark)))
-    rows, _ = save(_blocks(sound.select("id", "row", "q"), max(1, -(-n // BLOCK)), "block"), "vector-blocks")
-    asks = _blocks(sound.where("asked").select("id", "row", "q"), n_query, "part")
-    asks, _ = save(asks.select("part", *(F.col(c).alias(f"q_{c}") for c in asks.columns if c != "part")), "query-blocks")
-    drop(spark, path)
-    units = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).join(asks, "part").repartition(max(spread(spark), n_query), "block", "part")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                width = max(r["width"], r["q_width"])
-                index = Index(*_unpacked(r, "", width))
-                ids, numbers, ask = _unpacked(r, "q_", width)
-                wide = is_wide(ask)
-                found: list[list] = [[] for _ in range(6)]
+    sound, _ = save(taken.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written, so numbers stay
+    n, asked, width = sound.agg(F.count("*"), F.count_if("asked"), F.coalesce(F.max(F.size("q")), F.lit(0))).head()
+    fit = max(1, BYTES // (8 * max(1, width)))
+    block, rounds = min(BLOCK, fit), max(1, -(-asked // min(ROUND, fit)))
+    schema = "query_id long, query_row long, high long, low long, vec_id long, score long"
+    tasks = max(1, min(spread(spark), 2 * spark.sparkContext.defaultParallelism, -(-4 * n // block)))  # small blocks cost more for each row
+    dealt = sound.select("id", "row", "q").repartition(tasks, "row")
+
+    def scored(part: int) -> DataFrame:
+        own = sound.where(F.col("asked") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == part)).select("id", "row", "q").toArrow().combine_chunks()
+        ids, numbers = (own.column(c).to_numpy() for c in ("id", "row"))
+        values = _matrix(pa.concat_arrays(own.column("q").chunks), width) if own.num_rows else np.zeros((0, width), np.int64)
+        size = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not values.size or np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max)
+        sent = spark.sparkContext.broadcast((ids, numbers, values.astype(size)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, numbers, ask = sent.value
+            ask = ask.astype(np.int64)
+            wide, best = is_wide(ask), Best(len(ids), k)
+
+            def meet(own: list[np.ndarray]) -> None:
+                order = np.lexsort((own[1], own[0]))
+                index = Index(*(x[order] for x in own))
                 for i in range(0, len(ids), TOGETHER):
-                    part = np.where(wide[i : i + TOGETHER, None], 0, ask[i : i + TOGETHER])
-                    slices = index.sums(part)
-                    for j in range(len(part)):
-                        best, scores = index.best(ask[i + j], numbers[i + j], None if wide[i + j] else slices, j, k)
-                        if isinstance(scores, np.ndarray):
-                            high, low = scores >> 62, scores & LOW
-                        else:
-                            high, low = np.array([max(-(1 << 63), min((1 << 63) - 1, s >> 62)) for s in scores], np.int64), np.array([s & LOW for s in scores], np.int64)
-                            scores = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in scores], np.int64)
-                        for column, own in zip(found, (np.full(len(best), ids[i + j]), np.full(len(best), numbers[i + j]), index.ids[best], scores, high, low), strict=True):
-                            column.append(own)
-                columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "query_row", "vec_id", "score", "high", "low"])
-
-    per_block = units.drop("block", "part").mapInArrow(run, "query_id long, query_row long, vec_id long, score long, high long, low long")
+                    slices = index.sums(np.where(wide[i : i + TOGETHER, None], 0, ask[i : i + TOGETHER]))
+                    found = []
+                    for j in range(i, min(i + TOGETHER, len(ids))):
+                        rows, scores = index.best(ask[j], numbers[j], None if wide[j] else slices, j - i, k)
+                        found.append((index.ids[rows], scores))
+                    best.add(i, found)
+
+            held, n = [], 0
+            for batch in batches:
+                held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), width)])
+                n += len(batch)
+                if n >= block:
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    for a in range(0, n - block + 1, block):
+                        meet([x[a : a + block] for x in whole])
+                    held, n = [[x[n - n % block :] for x in whole]], n % block
+            if n:
+                meet([np.concatenate(x) for x in zip(*held, strict=True)])
+            for a in range(0, len(ids), 1024):
+                there = ~best.none[a : a + 1024]
+                which = a + np.nonzero(there)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[which], numbers[which], *(c[a : a + 1024][there] for c in best.columns))], schema.replace(" long", "").split(", "))
+
+        return dealt.mapInArrow(run, schema)
+
+    per_task = reduce(DataFrame.union, [scored(part) for part in range(rounds)])
     order = Window.partitionBy("query_row").orderBy(F.desc("high"), F.desc("low"), "vec_id")
-    return per_block.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return per_task.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

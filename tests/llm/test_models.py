@@ -220,6 +220,24 @@ def test_top_k(spark, monkeypatch):
     assert bitslice.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_in_rounds_copies_no_vectors(spark, monkeypatch):
+    for name, value in (("BLOCK", 50), ("ROUND", 7), ("TOGETHER", 3)):
+        monkeypatch.setattr(bitslice, name, value)
+    rng = np.random.default_rng(6)
+    whole = rng.integers(-3, 4, (400, 5))
+    df = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in enumerate(whole.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    out = bitslice.top_k(df, F.col("vec_id") % 20 == 0, k=6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # each block was copied for each part of the queries
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    for q in range(0, 400, 20):
+        best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[q]) if j != q)[:6]
+        assert sorted(found.pop(q)) == [(n, *x) for n, x in enumerate(best, 1)]
+    assert not found and bitslice.top_k(df, F.lit(False)).count() == 0
+
+
 def test_automaton_gives_matching_statistics():
     rng = random.Random(1)
     for _ in range(200):
