@@ -67,6 +67,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near copies.
 
+    Groups come from covering hashing of SimHash fingerprints, held against whole shingle sets, and for copies beyond
+    its radius from a prefix filter over those sets.
     Rows with a null id, or with one that other rows share, are known by a hash of id and text here, which comes
     after all ids; so a row never goes for what another one with its id holds. An empty table stays empty.
     """

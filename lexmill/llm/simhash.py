@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .store import BROADCAST_IDS, save
+from .store import BROADCAST_IDS, drop, save
 from .words import LOWER, coded, parts, words
 
 SMALL = 48
@@ -232,22 +232,68 @@ def crowded_links(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return dealt.join(sets, "node").select("grp", "i", "j", "node", "own").groupBy("grp", "i", "j").applyInArrow(cell, "a long, b long")
 
 
+def fingerprint_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the documents named in nodes (one column, doc_id): what covering hashing of their fingerprints links.
+
+    Those of one fingerprint form a class and meet its least member; least members of classes that differ in at most
+    2 bits meet as in ``similar``. Pairs are as many as documents and linked classes, whatever the classes hold.
+    """
+    marked, _ = save(fingerprints(docs).join(nodes, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "fp"), "fingerprints")
+    classes, _ = save(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    within = marked.join(classes.where("n > 1").select("fp", "node"), "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return within.union(linked_classes(classes.select("fp", "node"))).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets (node, own) have that similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(common / (len(x) + len(y) - common) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
+def candidates(few: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of one bucket whose sets can have that similarity. few: key, node, size, rest, pos, part; held: node, held.
+
+    Nodes of one part are linked already and don't meet. The rest needs a share of na + nb common shingles. A key at
+    places pa and pb leaves room for no more than lie behind it in either set, and before it in both; before the first
+    common key lie none. Keys of large buckets (held) and what stands behind the keys (rest) may be common too.
+    """
+    needed = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+    behind = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    own = lambda x: few.select("key", F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("rest").alias(f"r{x}"), F.col("pos").alias(f"p{x}"), F.col("part").alias(f"part_{x}"))
+    met = own("a").join(own("b"), "key").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & (behind + F.least("pa", "pb") >= needed))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.max(behind).alias("room"), *(F.first(c).alias(c) for c in ("na", "nb", "ra", "rb"))).where(F.col("room") >= needed)
+    near = F.col("common") + F.greatest("ra", "rb")
+    met = met.join(held.select(F.col("node").alias("a"), F.col("held").alias("ha")), "a", "left").join(held.select(F.col("node").alias("b"), F.col("held").alias("hb")), "b", "left")
+    return met.where(near + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= needed).select("a", "b")
+
+
 def _keyed(first: DataFrame) -> DataFrame:
-    return first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    return first.select(F.col("doc_id").alias("node"), "size", "rest", "part", F.posexplode("keys").alias("pos", "key"))
 
 
 def _shared(first: DataFrame) -> DataFrame:
-    return _keyed(first).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return first.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity (Jaccard) of their sets of five-word shingles.
 
-    Candidates share one of their rarest shingles (prefix filter), which every similar pair does. Buckets of at
-    most SMALL members are compared pair by pair; pairs whose sizes or common keys rule the similarity out are
-    dropped, and the rest is decided on the whole sets. Larger buckets are compared in cells. Nothing is capped
-    or estimated, but shingles are known by 64-bit hashes. Equal sets are one class. Texts without words, and
-    rows with null doc_id, have no copies.
+    Fingerprints and covering tables (as in ``similar``) give the first pairs; those whose whole sets have the
+    similarity are links, and what they join isn't compared again. Copies beyond the radius share one of their rarest
+    shingles (prefix filter), which every similar pair does. Buckets of at most SMALL members are compared pair by
+    pair; pairs whose sizes, places or numbers of common keys rule the similarity out are dropped, and the rest is
+    decided on the whole sets. Larger buckets are compared in cells. Nothing is capped or estimated, but shingles are
+    known by 64-bit hashes. Equal sets are one class. Texts without words, and rows with null doc_id, have no copies.
     """
     docs = docs.where("doc_id is not null")
     known, counts = frequent_shingles(docs)
@@ -255,6 +301,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     classes, _ = save(marked.where("size > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "rest")).alias("c"), F.count("*").alias("n")).select("digest", F.col("c.doc_id").alias("node"), "c.size", "c.rest", "n"), "classes")
     same, _ = save(marked.select("doc_id", "digest").join(classes.where("n > 1").select("digest", "node"), "digest").where("doc_id <> node").select("doc_id", "digest"), "same")
     first = marked.where("size > 0").join(F.broadcast(same) if same.count() <= BROADCAST_IDS else same, ["doc_id", "digest"], "left_anti")
+    hashed, _ = save(fingerprint_pairs(docs, classes.select(F.col("node").alias("doc_id"))), "fingerprint-pairs")
+    hashed_sets, path = save(whole_sets(docs, hashed.select(F.col("a").alias("node")).union(hashed.select("b")).distinct()), "sets")
+    near, _ = save(verified(hashed, hashed_sets, similarity), "fingerprint-links")
+    drop(docs.sparkSession, path)
+    joined = components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    joined, _ = save(joined, "parts")
+    joined = F.broadcast(joined) if joined.count() * 2 <= BROADCAST_IDS else joined
+    first = first.join(joined, "doc_id", "left").select("doc_id", "size", "rest", F.coalesce("part", F.col("doc_id").cast("long")).alias("part"), "keys")
     full, _ = save(_shared(first), "buckets")
     hot, _ = save(full.where(F.col("n") > SMALL).orderBy(F.desc("n"), "key").limit(FREQUENT), "hot")
     if (rows := hot.toArrow()).num_rows:
@@ -266,30 +320,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         ids, _ = save(_keyed(first).join(F.broadcast(hot), "key", "left_semi").select(F.col("node").alias("doc_id")).distinct(), "reordered")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         again = prefixes(docs.join(ids, "doc_id", "left_semi"), similarity, known[order], counts[order])
-        first, _ = save(first.join(ids, "doc_id", "left_anti").select("doc_id", "keys").union(again.select("doc_id", "keys")), "prefixes")
+        first, _ = save(first.join(ids, "doc_id", "left_anti").union(again.join(joined, "doc_id", "left").select("doc_id", "size", "rest", F.coalesce("part", F.col("doc_id").cast("long")).alias("part"), "keys")), "prefixes")
         full, _ = save(_shared(first), "buckets")
     keyed = _keyed(first)
     met, _ = save(keyed.join(full, "key"), "met")
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-    crowd, _ = save(many.select("key", "node").join(classes.select("node", "size"), "node"), "crowd")
-    held = classes.select("node", "size", "rest").join(many.groupBy("node").agg(F.count("*").alias("held")), "node", "left").fillna(0, ["held"])
-    counted = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    counted = counted.join(held.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("held").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("held").alias("hb")), "b")
-    able = (F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-6) & (F.col("common") + F.least("ha", "hb") + F.greatest("ra", "rb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-    pairs, _ = save(counted.where(able).select("a", "b"), "pairs")
+    crowd, _ = save(many.select("key", "node", "size"), "crowd")
+    pairs, _ = save(candidates(few, crowd.groupBy("node").agg(F.count("*").alias("held")), similarity), "pairs")
     sets, _ = save(whole_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            right = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                right.append(common / (len(x) + len(y) - common) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(right, pa.bool_()))
-
-    links = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").union(crowded_links(crowd, sets, similarity))
+    links = near.union(verified(pairs, sets, similarity)).union(crowded_links(crowd, sets, similarity))
     found = components(links)
     named, _ = save(classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "named")
     return marked.join(named, "digest", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -213,6 +213,38 @@ def test_near_copies_behind_an_unrelated_least_member(make):
     assert found == jaccard_components(rows) == {i: i % 10_000 for i, _ in rows}
 
 
+def test_near_copies_go_by_fingerprints_first(make, spark, monkeypatch):
+    import random
+
+    rng = random.Random(14)
+    rows = copies(rng, 30, 200, 1) + [(i + 1000, t) for i, t in copies(rng, 20, 60, 2)] + [(500, "a b"), (501, "A  b")]
+    ids = [i for i, _ in rows if i != 501]
+    found = {tuple(sorted(r)) for r in simhash.fingerprint_pairs(make(rows), spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    fp = {i: simhash.majority(simhash.hashes(simhash.shingles(t, 3))) for i, t in rows}
+    wanted = {(a, b) for a in ids for b in ids if a < b and ((fp[a] ^ fp[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert found == wanted and len(wanted) >= 10  # no two have equal fingerprints here
+    seen, candidates = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda *x: seen.append(candidates(*x)) or seen[-1])
+    wanted_components = jaccard_components(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()} == wanted_components
+    left = {tuple(r) for r in seen[0].collect()}
+    alike = {(i, i + 10_000) for i, _ in rows if wanted_components.get(i + 10_000) == i}
+    assert not left & found and alike <= left | found  # what fingerprints join isn't compared again, the rest is
+
+
+def test_near_copies_compare_no_pairs_of_unlike_sizes_or_places(make, monkeypatch):
+    import random
+
+    rng = random.Random(15)
+    passage = " ".join("".join(rng.choice("ijklmn") for _ in range(5)) for _ in range(6))
+    rows = [(i, f"{passage} {' '.join(''.join(rng.choice('abcdefgh') for _ in range(5)) for _ in range(40 + 6 * i))}") for i in range(40)]
+    seen, candidates = [], simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda *x: seen.append(candidates(*x)) or seen[-1])
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(make(rows)).collect()} == jaccard_components(rows)
+    sizes = [len(t.split()) - 4 for _, t in rows]
+    assert all(sizes[a] >= 0.8 * sizes[b] - 1e-6 for a, b in seen[0].collect())
+
+
 def test_near_copies_at_the_similarity(make):
     import random
 
